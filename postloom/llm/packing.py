@@ -16,41 +16,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import cut, ranked, table
-from postloom.llm.token_counts import tokenizer
+from postloom.llm.token_counts import known_codes, slices, tokenizer, word_codes
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
 #: Words whose ids one worker keeps before it begins anew.
-KEPT = 500_000
+KEPT = 1_000_000
 
 
 class WordIds:
     """Ids of texts for a tokenizer that drops white space: a text's ids are its words' ids in order."""
 
     def __init__(self, name: str = TOKENIZER, kept: int = KEPT) -> None:
-        self.library, self.kept, self.known = tokenizer(name), kept, {"": b""}
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > self.kept:
-                self.known = {"": b""}
-            new = [w for w in {*words} if w not in self.known]
-            got = self.library.encode(" ".join(new), add_special_tokens=False)  # one call; offsets tell the words apart
-            ids = np.array(got.ids, "<u4")
-            ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
-            cuts = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), ends)
-            for w, a, z in zip(new, [0, *cuts.tolist()], cuts.tolist()):
-                self.known[w] = ids[a:z].tobytes()
-            return b"".join(map(self.known.__getitem__, words))
+        self.library, self.kept = tokenizer(name), kept
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _learn(self, words: list[str]) -> None:
+        got = self.library.encode(" ".join(words), add_special_tokens=False)  # one call; offsets tell the words apart
+        ids, n = np.array(got.ids, np.uint32), len(self.index)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        cuts = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), ends)
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < n + len(words):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[n : n + len(words)] = np.diff(cuts, prepend=0)
+        self.start[n : n + len(words)] = self.used + np.concatenate([[0], cuts[:-1]])
+        self.used += len(ids)
+        self.index.update(zip(words, range(n, n + len(words))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids begin."""
+        texts = pc.fill_null(texts, "")
+        for c in "\n\t\r":
+            texts = pc.replace_substring(texts, c, " ")
+        words, code, begins = word_codes(texts)
+        if not len(code):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        code = known_codes(self.index, words.to_pylist(), self.kept, self._learn, self.forget)[code]
+        size = self.size[code]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[code] - (ends - size), size) + np.arange(int(ends[-1]))
+        return self.flat[at], np.concatenate([[0], ends])[begins]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -122,20 +141,24 @@ def places(bins: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 def pieces(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row for each document, or for each `capacity` ids of a longer one: doc_id, piece, start, length, ids_crc32[, ids]."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step, end = 4 * capacity, np.array([END], "<u4").tobytes()
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = encoder(name).encode(text) + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4")] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            yield out.astype({"doc_id": "Int64"})
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([END], "<u4").tobytes()
+        for part in (x for batch in batches for x in slices(batch)):
+            ids, begins = encoder(name).encode(part.column("text"))
+            rows: list[tuple] = []
+            for doc_id, a, z in zip(part.column("doc_id").to_pylist(), begins.tolist(), begins[1:].tolist()):
+                raw = ids[a:z].astype("<u4").tobytes() + end
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    piece = raw[at : at + 4 * capacity]
+                    rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<u4")] if with_ids else [])))
+            columns = list(zip(*rows)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    if with_ids:
+        names, types = [*names, "ids"], [*types, pa.list_(pa.int64())]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postloom.llm import decontamination, license_scan, packing, quality_rules, sharding, token_counts
+from postloom.llm import decontamination, license_scan, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_counts
 
-MODULES = (packing, decontamination, token_counts, quality_rules, license_scan, sharding)
+MODULES = (packing, decontamination, lm_scoring, token_counts, pii, quality_rules, license_scan, sharding, near_dedup, quality_classifier)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -3,7 +3,9 @@
 For a word of the tokenizer's own splitting, the encoding of each prefix has one last token: a token that ends there and
 that may follow the last token of the prefix before it (two tokens may stand side by side if encoding their joined bytes
 gives the two again). So one pass over the prefixes finds every count from the counts of shorter prefixes, and no prefix is
-encoded again. A text's table is put together from its words' tables, so truncation and budget questions are look-ups.
+encoded again. Over a text, the count at each word's end is the sum so far; a question about a prefix looks up the last word
+end before it and the table of the one word that it cuts. Totals of words are kept by each worker, so a text is mostly
+look-ups.
 
 Defined results: a null text is empty (0 tokens); rows with repeated or null ids are counted one by one; other columns are
 not read; a special token's string inside a text counts as the library's default takes it (one token).
@@ -14,18 +16,21 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries that one worker keeps of words, and of pairs of tokens, before it begins anew.
-KEPT = 400_000
+#: Entries that one worker keeps of words' tables and of pairs of tokens, and of words' totals, before it begins anew.
+KEPT = 200_000
+KEPT_TOTALS = 1_200_000
 
 
 def tokenizer(name: str):
@@ -37,6 +42,35 @@ def tokenizer(name: str):
     return Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
 
 
+def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts divided by single spaces: the distinct words, each word's place among them, and where each text's words begin."""
+    lists = pc.split_pattern(texts, " ")
+    flat = lists.flatten().dictionary_encode()
+    return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+
+
+def slices(batch: pa.RecordBatch, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` bytes of text, so that long texts don't add up in a worker."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes) // most
+    cuts = np.flatnonzero(np.diff(run)) + 1
+    for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        yield batch.slice(a, z - a)
+
+
+def known_codes(index: dict[str, int], words: list[str], kept: int, learn: Callable[[list[str]], None], forget: Callable[[], None]) -> np.ndarray:
+    """index of each word, once learn() has been called with those that are new; forget() when too many are kept."""
+    if len(index) > kept:
+        forget()
+    got = list(map(index.get, words))
+    if None in got:
+        new = [w for w, g in zip(words, got) if g is None]
+        for k in range(0, len(new), 20_000):
+            learn(new[k : k + 20_000])
+        got = list(map(index.__getitem__, words))
+    return np.array(got, np.int64)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,6 +88,7 @@ class PrefixCounter:
 
     _SPACE = re.compile(r"\s")
     _SPACED = re.compile(r"\s | \s")
+    _ODD = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}] | [\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]|<\\|"
 
     def __init__(self, name: str = TOKENIZER, kept: int = KEPT) -> None:
         self.library, self.kept = tokenizer(name), kept
@@ -77,6 +112,8 @@ class PrefixCounter:
         self.later: dict[str, bytes] = {}
         self.words: dict[str, list[int]] = {}
         self.beside: dict[tuple[int, int], bool] = {}
+        self.totals: dict[str, int] = {}
+        self.firsts: dict[str, int] = {}
 
     def _may_follow(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their joined bytes are encoded.
@@ -200,6 +237,51 @@ class PrefixCounter:
         return np.concatenate([*out, self._plain(text[at:]) + base]).astype(np.int32)
 
 
+    def _learn(self, words: list[str]) -> None:
+        """Totals of words, each with a space before it, from one call of the library."""
+        starts = np.array([a for a, _ in self.library.encode(" " + " ".join(words), add_special_tokens=False).offsets], np.int64)
+        cuts = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
+        totals = np.diff(cuts, prepend=0).tolist()
+        self.totals.update(zip(words, totals))
+
+    def budgets(self, texts: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text: its tokens, and the code points of its longest prefix of at most `limit` tokens."""
+        texts = pc.fill_null(texts, "")
+        tokens, fit = np.zeros(len(texts), np.int64), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        odd = pc.match_substring_regex(texts, self._ODD).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(odd).tolist():
+            c = self.counts(texts[k].as_py())
+            inside = np.flatnonzero(c <= limit)
+            tokens[k], fit[k] = c[-1] if len(c) else 0, inside[-1] + 1 if len(inside) else 0
+        rows = np.flatnonzero(~odd)
+        words, code, begins = word_codes(texts.filter(pa.array(~odd)))
+        if not len(rows):
+            return tokens, fit
+        total = known_codes(self.totals, words.to_pylist(), KEPT_TOTALS, self._learn, self.totals.clear)[code]
+        for k in begins[:-1].tolist():  # a first word has no space before it
+            total[k] = self._first(words[code[k]].as_py())
+        ends = np.cumsum(total)
+        before = np.concatenate([[0], ends])[begins[:-1]]
+        tokens[rows] = np.concatenate([[0], ends])[begins[1:]] - before
+        for i in np.flatnonzero(tokens[rows] > limit).tolist():
+            a, z = begins[i], begins[i + 1]
+            k = int(np.searchsorted(ends[a:z], before[i] + limit, "right"))  # the word that goes over
+            text = words[code[a + k]].as_py()
+            inside = np.frombuffer(self._piece(" " + text if k else text), np.int32) + (ends[a + k - 1] - before[i] if k else 0)
+            short = np.flatnonzero(inside <= limit)
+            head = sum(len(w) for w in words.take(pa.array(code[a : a + k])).to_pylist()) + max(0, k - 1)
+            fit[rows[i]] = head + (short[-1] + 1 if len(short) else 0)
+        return tokens, fit
+
+    def _first(self, word: str) -> int:
+        got = self.firsts.get(word)
+        if got is None:
+            if len(self.firsts) > self.kept:
+                self.firsts.clear()
+            got = self.firsts[word] = len(self.library.encode(word, add_special_tokens=False).ids)
+        return got
+
+
 _COUNTERS: dict[str, PrefixCounter] = {}
 
 
@@ -223,17 +305,14 @@ def prefix_counts(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
 def token_budget(docs: DataFrame, limit: int, name: str = TOKENIZER) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit and fit_chars: the longest prefix (code points) of at most `limit` tokens."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            tokens, fit = [], []
-            for t in b["text"]:
-                c = counter(name).counts(t)
-                tokens.append(int(c[-1]) if len(c) else 0)
-                fit.append(len(c) if not len(c) or c.max() <= limit else int(np.flatnonzero(c <= limit)[-1]) + 1 if limit > 0 else 0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": tokens, "fit_chars": fit})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                tokens, fit = counter(name).budgets(part.column("text"), limit)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(tokens), pa.array(fit)], ["doc_id", "n_bytes", "n_tokens", "fit_chars"])
 
     sized = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    out = sized.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, fit_chars long")
+    out = sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, fit_chars long")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
