@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from postloom.llm.common import cut, mix, partitions, table, word_hashes
 
 #: Rows of one block.
-BLOCK = 8192
+BLOCK = 4096
 FOLDS = 5
 HELD_OUT, DELETED = 1, 0  # remainders of crc32(id): never learned from; learned from, and used for the weights
 BUCKETS = 24
