@@ -37,7 +37,7 @@ def test_groups_against_brute_force(spark):
     texts = [edited(base[k % 12], rng.randint(0, 6), rng) for k in range(150)] + ["", None, "  ", "one two", "one two", "ONE\ttwo", "one two three"]
     texts += [edited(base[0], rng.randint(0, 3), rng) for _ in range(90)]  # a group larger than a leaf
     rng.shuffle(texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(docs(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(docs(spark, texts), words=4).collect()}
     assert got == brute_components(texts)
 
 
