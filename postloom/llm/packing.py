@@ -28,7 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
 #: Words whose ids one worker keeps before it begins anew.
-KEPT = 1_000_000
+KEPT = 300_000
 
 
 class WordIds:

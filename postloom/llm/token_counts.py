@@ -30,7 +30,7 @@ from postloom.llm.common import table
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries that one worker keeps of words' tables and of pairs of tokens, and of words' totals, before it begins anew.
 KEPT = 200_000
-KEPT_TOTALS = 1_200_000
+KEPT_TOTALS = 600_000
 
 
 def tokenizer(name: str):
