@@ -1,14 +1,16 @@
 """Near-duplicate groups by a chosen-path set-similarity join over minwise tokens.
 
 Documents with equal shingle sets are one class. Each tree of the join starts by branching the classes by one minwise token;
-a node of at most LEAF classes is compared exhaustively, a larger one is branched again by a token that the node's path
-selects. Independent trees bring the recall to its target: a pair at the threshold stays together in a level with odds of
-0.8, and most nodes are small after one or two. In the first nodes that are large, and in the last, every class is also compared with one central
-class, so that a dense group of near copies becomes one component without its pairs. Sketches only choose what to compare: each link is confirmed on the
-full sets of the two texts.
+a node of at most LEAF classes is compared exhaustively, a larger one is branched again, by the next of the tree's own tokens.
+A node that is still large after LEVELS of them is compared exhaustively too, by blocks. So a pair is compared if it shares
+the tokens of LEVELS levels in any tree; trees share no token, and their number follows from RECALL, the odds that a
+pair at the threshold is compared. In the first nodes that are large, every class is also compared with one central class, so
+that most of a dense group of near copies becomes one component without its pairs. Sketches only choose what to compare:
+each link is confirmed on the full sets of the two texts.
 
-Links inside a component that is known already add nothing. So confirmation has three rounds: links to central classes, a
-spanning forest of each small node's likely links, and the likely links that join different components after these.
+Links inside a component that is known already add nothing. So confirmation has four rounds: links to central classes, a
+spanning forest of each small node's likely links, the likely links that join different components after these, and, in
+nodes that stay large, all pairs of different components.
 
 Defined results: documents without words (null, empty, blank) have no shingles, are linked with nothing and are kept;
 rows without an id are kept with a null component; rows that share an id are one document; other columns are not read.
@@ -16,6 +18,7 @@ rows without an id are kept with a null component; rows that share an id are one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +31,19 @@ from postloom.llm.common import cut, mix, table, word_hashes
 WORDS = 5
 THRESHOLD = 80  # per cent
 COORDINATES = 64
-TREES = 12
 LEAF = 32
-DEPTH = 10
+LEVELS = 3
+RECALL = 0.9998
+#: The least number of independent trees of which one keeps a pair at the threshold together, with odds of RECALL.
+TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - (THRESHOLD / 100) ** LEVELS))
+#: Classes of a block of a node that stays large.
+BLOCK = 256
 #: Agreeing coordinates, of COORDINATES, from which a pair is compared in full: four standard deviations below the threshold.
 LIKELY = int(COORDINATES * THRESHOLD / 100 - 4 * (COORDINATES * THRESHOLD / 100 * (1 - THRESHOLD / 100)) ** 0.5)
 _U = np.uint64
 _A = mix(np.arange(1, COORDINATES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _B = mix(np.arange(1, COORDINATES + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
-_LEVEL = (COORDINATES - TREES) // (DEPTH - 1)
+assert TREES * LEVELS <= COORDINATES and TREES <= 256
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -72,27 +79,31 @@ def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "sketch"]).astype({"doc_id": "Int64"})
 
 
+def _of_tree(hashes: np.ndarray, trees: np.ndarray) -> np.ndarray:
+    """Node numbers: a node has its tree in the last eight bits."""
+    return (hashes & ~_U(255)) | trees
+
+
 def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         sk = _sketches(b["sketch"]).astype(_U) if len(b) else np.zeros((0, COORDINATES), _U)
         trees = np.arange(TREES, dtype=_U)
-        nodes = mix(mix(sk[:, :TREES] + (trees << _U(32))[None, :]) ^ _B[0])
+        nodes = _of_tree(mix(mix(sk[:, :TREES] + (trees << _U(32))[None, :]) ^ _B[0]), trees[None, :])
         yield pd.DataFrame({"node": nodes.astype(np.int64).ravel(), "rep": np.repeat(b["rep"].to_numpy(np.int64), TREES)})
 
 
 
-
-def _children(depth: int):
-    """Branch each (node, class) by the token that the node selects, from tokens that no level above it uses."""
+def _children(level: int):
+    """Branch each (node, class) by the token of its tree's own coordinate for the level."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             node, rep, group = b["node"].to_numpy(np.int64).astype(_U), b["rep"].to_numpy(np.int64), b["c"].to_numpy(np.int64)
-            sk, choice = _sketches(b["sketch"]).astype(_U), mix(node ^ _B[depth])
-            at = TREES + (depth - 1) * _LEVEL + (choice % _U(_LEVEL)).astype(np.int64)
-            child = mix(mix(node) ^ mix(sk[np.arange(len(b)), at] + (at.astype(_U) << _U(32))))
+            sk, tree = _sketches(b["sketch"]).astype(_U), node & _U(255)
+            at = (tree + _U(level * TREES)).astype(np.int64)
+            child = _of_tree(mix(mix(node) ^ mix(sk[np.arange(len(b)), at] + (at.astype(_U) << _U(32)))), tree)
             yield pd.DataFrame({"node": child.astype(np.int64), "rep": rep, "c": group})
 
     return run
@@ -152,6 +163,58 @@ def _confirmed(words: int, threshold: int):
     return run
 
 
+def _block_links(words: int, threshold: int):
+    """Of two blocks of a node (or one with itself), links that join all that the similar pairs of different components join."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["side", "rep"])
+        rep, side = b["rep"].to_numpy(np.int64), b["side"].to_numpy()
+        sets = [shingles(t, words) for t in b["text"]]
+        size = np.array([len(s) for s in sets], np.int64)
+        tokens, code = np.unique(np.concatenate(sets), return_inverse=True)
+        begins = np.concatenate([[0], np.cumsum(size)])
+        group = np.unique(b["c"].to_numpy(np.int64), return_inverse=True)[1]
+        rows, held = [], np.zeros(len(tokens), np.int64)
+        for i in np.flatnonzero(side == 0):
+            # within one block each pair once; of two blocks, those of the first against those of the second
+            first = i + 1 if side[-1] == 0 else int(np.searchsorted(side, 1))
+            if first == len(rep) or (group[first:] == group[i]).all():
+                continue
+            mine = code[begins[i] : begins[i + 1]]
+            held[mine] = 1
+            both = np.add.reduceat(held[code[begins[first] :]], begins[first:-1] - begins[first])
+            held[mine] = 0
+            near = first + np.flatnonzero(100 * both >= threshold * (size[i] + size[first:] - both))
+            for j in near:
+                if group[i] != group[j]:
+                    rows.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    group[group == group[j]] = group[i]
+        return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def in_blocks(large: DataFrame) -> DataFrame:
+    """large (node, rep, c) as pairs of blocks of BLOCK classes: all pairs of different components of a node are in one.
+
+    The classes of a node's largest component have no pairs to look for among them, so they meet only the others.
+    """
+    counts = large.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.groupBy("node").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    nodes = nodes.select("node", F.col("most.c").alias("main"), blocks(F.col("most.n")).alias("k_main"), blocks(F.col("n") - F.col("most.n")).alias("k_rest"))
+    rows = large.join(nodes, "node").withColumn("is_main", F.col("c") == F.col("main"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("k_main")).otherwise(F.col("k_rest"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    main = F.transform(upto(F.col("k_rest")), lambda i: cell("main", i, F.col("at"), F.lit(1)))
+    rest = F.concat(
+        F.transform(upto(F.col("k_main")), lambda j: cell("main", F.col("at"), j, F.lit(0))),
+        F.transform(upto(F.col("k_rest")), lambda j: cell("rest", F.least("at", j), F.greatest("at", j), F.col("at") > j)),
+    )
+    return rows.select("node", "rep", "c", F.explode(F.when(F.col("is_main"), main).otherwise(rest)).alias("cell")).select("node", "rep", "c", "cell.*")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
@@ -206,20 +269,18 @@ def groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
     links = cut(confirm(stars, texts_of(stars.select(F.col("a").alias("doc_id")).union(stars.select("b"))), words, threshold))
     so_far = components(links)
 
-    small, late = [rows.where(F.col("n") <= LEAF).select("node", "rep")], []
+    small = [rows.where(F.col("n") <= LEAF).select("node", "rep")]
     central = cut(labelled(central, so_far, "rep", "c"))
     large = large.select("node", "rep").join(central.select("rep", "c"), "rep")
-    for depth in range(1, DEPTH):
+    for level in range(1, LEVELS):
         if large.isEmpty():
             break
-        children = cut(large.select("node", "rep", "c").join(central.select("rep", "sketch"), "rep").mapInPandas(_children(depth), "node long, rep long, c long"))
+        children = cut(large.select("node", "rep", "c").join(central.select("rep", "sketch"), "rep").mapInPandas(_children(level), "node long, rep long, c long"))
         # a node that is within one component has no more to give
         sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("node", "n")
         rows = cut(children.join(sizes, "node"))
         small.append(rows.where(F.col("n") <= LEAF).select("node", "rep"))
-        large = rows.where(F.col("n") > LEAF)
-        if depth == DEPTH - 1 and not large.isEmpty():
-            late.append(starred(large.select("node", "rep"), central))
+        large = rows.where(F.col("n") > LEAF).select("node", "rep", "c")
 
     leaves = small[0]
     for x in small[1:]:
@@ -228,8 +289,6 @@ def groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
     leaves = leaves.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct().where(F.size("reps") > 1)
     leaves = labelled(leaves.select(F.xxhash64("reps").alias("leaf"), F.explode("reps").alias("rep")), so_far, "rep", "c").join(classes, "rep")
     pairs = leaves.groupBy("leaf").agg(F.collect_list(F.struct("rep", "sketch", "c")).alias("members")).select("members").mapInPandas(_leaf_pairs, "a long, b long, star boolean")
-    for x in late:
-        pairs = pairs.union(x)
     pairs = cut(pairs.groupBy("a", "b").agg(F.max("star").alias("star")))
 
     texts = texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
@@ -238,6 +297,11 @@ def groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
     rest = labelled(labelled(pairs.where("not star"), so_far, "a", "ca"), so_far, "b", "cb").where("ca <> cb")
     more = cut(confirm(rest, texts, words, threshold))
     final = so_far if more.isEmpty() else components(links.union(more))
+    if not large.isEmpty():
+        cells = cut(in_blocks(labelled(large.select("node", "rep"), final, "rep", "c")))
+        texts = texts_of(cells.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "text")
+        last = cut(cells.join(texts, "rep").groupBy("node", "kind", "i", "j").applyInPandas(_block_links(words, threshold), "a long, b long").distinct())
+        final = final if last.isEmpty() else components(links.union(more).union(last))
 
     joined = members.join(final, members["rep"] == final["v"], "left").select("doc_id", "n", F.coalesce("c", "rep").alias("component_id"))
     others = sets.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))

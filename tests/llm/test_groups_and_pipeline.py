@@ -41,6 +41,14 @@ def test_groups_against_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def test_groups_links_pairs_within_a_dense_group(spark):
+    """150 pairs at 0.81, all in one group whose other pairs are at 0.74: no leader is near, and nodes stay large."""
+    shared = " ".join(f"s{k}" for k in range(170))
+    texts = [" ".join([shared, *(f"p{i // 2}_{k}" for k in range(9)), *(f"o{i}_{k}" for k in range(21))]) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(docs(spark, texts), words=1).collect()}
+    assert got == {i: i // 2 * 2 for i in range(300)}
+
+
 def test_groups_defined_cases(spark):
     df = spark.createDataFrame([(None, "a b c d e", 1), (3, "a b c d e", 1), (3, "a b c d e", 1), (2, "A B c d e", 1), (4, None, 1)], "doc_id long, text string, rep int")
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.groups(df).collect())
