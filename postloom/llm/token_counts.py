@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -180,7 +182,7 @@ class PrefixCounter:
                 base = local[-1]
                 if end == at:
                     break
-            yield np.array(local, np.int32).tobytes()
+            yield array("i", local).tobytes()
 
     def _piece(self, text: str) -> bytes:
         """int32 counts of every prefix of a piece that has no special token."""
@@ -236,13 +238,16 @@ class PrefixCounter:
             base, at = base + whole + 1, end
         return np.concatenate([*out, self._plain(text[at:]) + base]).astype(np.int32)
 
-
     def _learn(self, words: list[str]) -> None:
-        """Totals of words, each with a space before it, from one call of the library."""
-        starts = np.array([a for a, _ in self.library.encode(" " + " ".join(words), add_special_tokens=False).offsets], np.int64)
-        cuts = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
-        totals = np.diff(cuts, prepend=0).tolist()
-        self.totals.update(zip(words, totals))
+        """Totals of words, each with a space before it: the last counts of their prefix tables, which are kept too."""
+        if len(self.later) > self.kept or len(self.words) > self.kept:
+            self.later.clear(), self.words.clear()
+        plain = [w for w in words if w and not self._SPACE.search(w)]
+        self.later.update(zip(plain, self._pieces(plain)))
+        for w in words:
+            if w not in self.later:
+                self.later[w] = self._piece(" " + w)
+            self.totals[w] = int.from_bytes(self.later[w][-4:], sys.byteorder)
 
     def budgets(self, texts: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: its tokens, and the code points of its longest prefix of at most `limit` tokens."""
@@ -267,7 +272,8 @@ class PrefixCounter:
             a, z = begins[i], begins[i + 1]
             k = int(np.searchsorted(ends[a:z], before[i] + limit, "right"))  # the word that goes over
             text = words[code[a + k]].as_py()
-            inside = np.frombuffer(self._piece(" " + text if k else text), np.int32) + (ends[a + k - 1] - before[i] if k else 0)
+            table = self.later.get(text) or self._piece(" " + text) if k else self._piece(text)
+            inside = np.frombuffer(table, np.int32) + (ends[a + k - 1] - before[i] if k else 0)
             short = np.flatnonzero(inside <= limit)
             head = sum(len(w) for w in words.take(pa.array(code[a : a + k])).to_pylist()) + max(0, k - 1)
             fit[rows[i]] = head + (short[-1] + 1 if len(short) else 0)
@@ -278,7 +284,7 @@ class PrefixCounter:
         if got is None:
             if len(self.firsts) > self.kept:
                 self.firsts.clear()
-            got = self.firsts[word] = len(self.library.encode(word, add_special_tokens=False).ids)
+            got = self.firsts[word] = int.from_bytes(self._piece(word)[-4:], sys.byteorder)
         return got
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import types
 import zlib
 
 import numpy as np
@@ -30,6 +31,20 @@ def test_every_prefix_has_the_library_count(limit):
         assert fit[k] == max([i + 1 for i, n in enumerate(want) if n <= limit], default=0)
 
 
+def test_budgets_come_from_prefix_tables():
+    """Without the library's encoding, of which only the division into words is left."""
+    c = token_counts.PrefixCounter()
+    rng = random.Random(3)
+    parts = ["the", "therefore", "don't", "I've", "日本é", "x\ny", "12,5!", "🙂", "ß"]
+    given = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(60)] + ["", " the", "the "]
+    want = [[len(c.library.encode(t[: i + 1], add_special_tokens=False).ids) for i in range(len(t))] for t in given]
+    c.library = types.SimpleNamespace(pre_tokenizer=c.library.pre_tokenizer)
+    tokens, fit = c.budgets(pa.array(given), 6)
+    assert tokens.tolist() == [w[-1] if w else 0 for w in want]
+    assert fit.tolist() == [max([i + 1 for i, n in enumerate(w) if n <= 6], default=0) for w in want]
+    assert c.later.keys() >= {w for t in given for w in t.split(" ")[1:]}
+
+
 def test_token_budget_defined_cases(spark):
     rows = [(1, None, 1), (2, "", 1), (None, "hello world", 1), (3, "word " * 3000, 1), (3, "word " * 3000, 1)]
     got = token_counts.token_budget(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), 1024).collect()
