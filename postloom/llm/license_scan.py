@@ -53,11 +53,13 @@ NOTICES = {
     "MIT": "Licensed under the MIT License.",
 }
 _COPYRIGHT = "(?m)^[^\\n]{0,20}(copyright (\\(c\\)|[0-9]|by )|\\(c\\) ?[0-9]|all rights reserved)[^\\n]*$"
+#: A whole line that begins, after comment marks, as a copyright line: the word or sign, then a sign, year or name.
+_COPYRIGHT_LINE = "(?m)^[^a-z0-9\\n\\x{0080}-\\x{10FFFF}(]*(\\(c\\)(?=[^\\n]*[0-9]{4})|\\x{00A9}|copyright(?= *[(\\[<{\\x{00A9}]| *[0-9]| [^\\n]*[0-9]{4}| *:| by ))[^\\n]*$"
 
 
 def canonical(text: Column) -> Column:
     """The form in which equal licenses are equal; null for null."""
-    x = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), "&", " and ")
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, ""), _COPYRIGHT, ""), "&", " and ")
     x = F.concat(F.lit(" "), F.trim(F.regexp_replace(x, "[^a-z0-9\\x{0080}-\\x{10FFFF}]+", " ")), F.lit(" "))
     for a, b in SPELLINGS.items():
         x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))

@@ -93,6 +93,16 @@ def test_license_digests(spark):
     assert got == {0: ("MIT", ""), 1: ("MIT", ""), 2: (None, ""), 3: (None, "Apache-2.0"), 4: (None, ""), 5: (None, "")}
 
 
+def test_license_copyright_lines(spark):
+    mit = license_scan.TEXTS["MIT"]
+    forms = ["Copyright © 2020 Ann", "© 2020 Ann", "Copyright Ann 2020", "Copyright [yyyy] [name]", "# Copyright (C) Ann", "(c) Ann, 2020", " * Copyright: Ann"]
+    wrapped = mit.replace("above copyright", "above\ncopyright").replace("OR COPYRIGHT", "OR\nCOPYRIGHT")  # no copyright lines
+    texts = [f"{x}\n\n{mit}" for x in forms] + [wrapped, "Ann's text\n" + mit]
+    known = license_scan.known_digests(spark, license_scan.TEXTS)
+    got = {r.doc_id: r.license_id for r in license_scan.scan(docs(spark, texts), known, known.limit(0)).collect()}
+    assert got == {i: "MIT" for i in range(len(forms) + 1)} | {len(forms) + 1: None}
+
+
 # Personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
