@@ -1,7 +1,7 @@
 """License scans by canonical digest: whole texts are brought to one form, hashed, and hash-joined to known digests.
 
 The form: lower case, copyright lines dropped, equivalent spellings made one, everything but letters and digits a space.
-Notices are found the same way: each line that speaks of a license is hashed in its form and looked up among known notices.
+Notices are found the same way: each line that is not blank is hashed in its form and looked up among known notices.
 
 Defined results: null, empty and unknown texts have a null license; repeated rows and null ids are looked up one by one;
 other columns are not read. Known texts with one digest keep the first name by order.
@@ -52,6 +52,8 @@ NOTICES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Licensed under the MIT License.",
 }
+#: More wordings, for scan() only: the registered query keeps to NOTICES, which its SQL has too.
+MORE_NOTICES = [(name, f"{verb} under the {title}.") for name, title in {"Apache-2.0": "Apache License, Version 2.0", "GPL-2.0": "GNU General Public License, version 2", "GPL-3.0": "GNU General Public License, version 3", "MIT": "MIT License"}.items() for verb in ("Licensed", "Released", "This work is licensed", "Distributed")]
 _COPYRIGHT = "(?m)^[^\\n]{0,20}(copyright (\\(c\\)|[0-9]|by )|\\(c\\) ?[0-9]|all rights reserved)[^\\n]*$"
 #: A whole line that begins, after comment marks, as a copyright line: the word or sign, then a sign, year or name.
 _COPYRIGHT_LINE = "(?m)^[^a-z0-9\\n\\x{0080}-\\x{10FFFF}(]*(\\(c\\)(?=[^\\n]*[0-9]{4})|\\x{00A9}|copyright(?= *[(\\[<{\\x{00A9}]| *[0-9]| [^\\n]*[0-9]{4}| *:| by ))[^\\n]*$"
@@ -70,9 +72,9 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """license_id and digest of named texts."""
-    rows = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
+def known_digests(spark: SparkSession, texts: dict[str, str] | list[tuple[str, str]]) -> DataFrame:
+    """license_id and digest of named texts; in a list, a name may have several."""
+    rows = spark.createDataFrame(sorted(texts.items() if isinstance(texts, dict) else texts), "license_id string, text string")
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -86,7 +88,7 @@ def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame, most_known: int
     if len(names) > most_known:
         raise ValueError(f"more than {most_known} notices")
     lookup = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else F.create_map().cast("map<string,string>")
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= 400) & F.lower(x).contains("licen"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
     whole = F.when(F.length(F.trim("text")) > 0, digest(F.col("text")))
     out = docs.select("doc_id", whole.alias("digest"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(found)), ","), F.lit("")).alias("notices"))

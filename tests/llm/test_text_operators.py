@@ -93,6 +93,14 @@ def test_license_digests(spark):
     assert got == {0: ("MIT", ""), 1: ("MIT", ""), 2: (None, ""), 3: (None, "Apache-2.0"), 4: (None, ""), 5: (None, "")}
 
 
+def test_license_notices_of_any_length_and_wording(spark):
+    long = "Use is granted " + "to everyone and " * 40 + "for ever."
+    known = license_scan.known_digests(spark, [*license_scan.NOTICES.items(), *license_scan.MORE_NOTICES, ("Long", long), ("PD", "In the public domain.")])
+    texts = ["a\nReleased under the MIT License.\nb", f"a\n{long}\n\nb", "in the  public domain\nLicensed under the MIT Licence"]
+    got = {r.doc_id: r.notices for r in license_scan.scan(docs(spark, texts), known.limit(0), known).collect()}
+    assert got == {0: "MIT", 1: "Long", 2: "MIT,PD"}
+
+
 def test_license_copyright_lines(spark):
     mit = license_scan.TEXTS["MIT"]
     forms = ["Copyright © 2020 Ann", "© 2020 Ann", "Copyright Ann 2020", "Copyright [yyyy] [name]", "# Copyright (C) Ann", "(c) Ann, 2020", " * Copyright: Ann"]
