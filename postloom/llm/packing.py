@@ -27,8 +27,8 @@ from postloom.llm.token_counts import known_codes, slices, tokenizer, word_codes
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
-#: Words whose ids one worker keeps before it begins anew.
-KEPT = 300_000
+#: Words whose ids one worker keeps before it begins anew. What is kept changes the time, never the ids.
+KEPT = 500_000
 
 
 class WordIds:
@@ -36,10 +36,11 @@ class WordIds:
 
     def __init__(self, name: str = TOKENIZER, kept: int = KEPT) -> None:
         self.library, self.kept = tokenizer(name), kept
+        self.index: dict[str, int] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index.clear()  # in place: known_codes() goes on with the same dictionary
         self.flat, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _learn(self, words: list[str]) -> None:
@@ -62,6 +63,11 @@ class WordIds:
         texts = pc.fill_null(texts, "")
         for c in "\n\t\r":
             texts = pc.replace_substring(texts, c, " ")
+        # Letters and the marks after them are split anyway, and case is dropped: fewer distinct words. Only the case of a
+        # letter before a combining mark may matter to the tokenizer's normal form.
+        if not pc.any(pc.match_substring_regex(texts, "\\p{M}")).as_py():
+            texts = pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(texts, "([A-Za-z])([,.;:!?]+)", "\\1 \\2")
         words, code, begins = word_codes(texts)
         if not len(code):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)

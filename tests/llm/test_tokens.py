@@ -62,6 +62,26 @@ def test_word_ids_are_the_library_ids():
         assert ids[begins[k] : begins[k + 1]].tolist() == w.library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kept", [0, 5, 60])
+def test_word_ids_survive_forgetting(kept):
+    """Batches whose words are all new, all known, or known before the cache began anew."""
+    w, library = packing.WordIds(kept=kept), packing.WordIds().library
+    batches = [["one two three", "four five six seven"], ["alpha beta"], ["alpha beta", "one Two, three..."], ["H\u0331e H\u0331E He", "STOP! stop!? It's, I'LL"], [""], [None, "beta alpha"], *[texts(40, k) for k in range(8)], ["one two"]]
+    for given in batches:
+        ids, begins = w.encode(pa.array(given, pa.string()))
+        for k, t in enumerate(given):
+            assert ids[begins[k] : begins[k + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kept", [0, 5])
+def test_prefix_tables_survive_forgetting(kept, monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_TOTALS", kept)
+    c = token_counts.PrefixCounter(kept=kept)
+    for given in [["one two three four five six seven"], ["alpha beta"], ["alpha beta", "one two three"], *[texts(40, k) for k in range(6)]]:
+        tokens, _ = c.budgets(pa.array(given), 4)
+        assert tokens.tolist() == [len(c.library.encode(t, add_special_tokens=False).ids) for t in given]
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(1)
     for _ in range(150):
