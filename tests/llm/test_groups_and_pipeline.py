@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from postloom.llm import near_dedup, packing
+from postloom.llm.common import Tables
 from tests.llm.test_text_operators import CLEAN, docs
 
 
@@ -49,16 +50,43 @@ def test_groups_links_pairs_within_a_dense_group(spark):
     assert got == {i: i // 2 * 2 for i in range(300)}
 
 
+def test_groups_of_a_dense_group_at_the_threshold(spark):
+    """700 edits of one text, whose pairs lie on both sides of the threshold."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(700):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(150)] = f"new{rng.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(docs(spark, texts), words=4).collect()}
+    want = brute_components(texts)
+    assert 50 < sum(not kept for *_, kept in want.values()) < 650
+    assert got == want
+
+
 def test_groups_defined_cases(spark):
-    df = spark.createDataFrame([(None, "a b c d e", 1), (3, "a b c d e", 1), (3, "a b c d e", 1), (2, "A B c d e", 1), (4, None, 1)], "doc_id long, text string, rep int")
+    same = "a b c d e"
+    rows = [(None, same, 1), (3, same, 1), (3, same, 1), (2, "A B c d e", 1), (4, None, 1), (None, "  ", 1), (5, "another text by itself here", 1), (5, same, 1), (None, "x y z v w", 1), (None, "x y z v w", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first int")
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.groups(df).collect())
-    assert got == [(-1, -1, True), (2, 2, True), (3, 2, False), (3, 2, False), (4, 4, True)]
+    assert got == [(-1, -1, True), (-1, -1, True), (-1, -1, True), (-1, 2, False), (2, 2, True), (3, 2, False), (3, 2, False), (4, 4, True), (5, 2, False), (5, 5, True)]
     assert near_dedup.groups(df.limit(0)).count() == 0
+    left = sorted((r.doc_id or -1, r.text or "") for r in near_dedup.deduplicate(df).collect())
+    assert left == [(-1, "  "), (-1, "x y z v w"), (2, "A B c d e"), (4, ""), (5, "another text by itself here")]
+    assert near_dedup.deduplicate(df).columns == df.columns and near_dedup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_one_row_of_repeated_rows_stays(spark):
+    rows = [(1, "one two three four five six", "x"), (1, "one two three four five six", "x"), (2, "seven eight nine ten eleven", "y")]
+    left = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, __n string")).collect()
+    assert sorted(tuple(r) for r in left) == [rows[0], rows[2]]
 
 
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = dict(map(tuple, near_dedup.components(edges).collect()))
+    got = dict(map(tuple, near_dedup.components(Tables(spark), edges, "x").collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
