@@ -2,25 +2,28 @@
 
 Normalised text is the words in order, each with a space on both sides; the automaton's keys are windows of `window` words
 of the items (an item of fewer words is one window). Matches give word intervals, and these the offsets in the original.
-Items come in blocks of a bounded number of bytes, with an automaton each: usually one, and the size of the benchmark
-never decides whether a worker's memory holds.
+Items come in blocks of a bounded number of bytes: usually one, which is one automaton and one pass over the texts. A larger
+benchmark takes a pass for each block, so that the driver and each worker hold one block at a time; the passes' hits are
+joined by row.
 
 Defined results: null texts and texts without a word have no words and no hits; items without a word match nothing; equal
-windows count for each of their items; repeated rows are judged one by one; other columns are not read.
+windows count for each of their items; repeated rows and rows without an id are judged one by one, each by its own text;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import table
+from postloom.llm.common import Tables, table
 
 WINDOW = 10
 #: Bytes of item texts in one automaton.
@@ -75,7 +78,18 @@ class Matcher:
         return np.cumsum(hit)[:-1] > 0, items
 
 
-_MATCHERS: dict[tuple, Matcher] = {}
+class Block:
+    """A block of items as tasks have it: broadcast, and made into an automaton once a worker, which holds the latest only."""
+
+    _held: tuple[str, Matcher] | None = None
+
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], window: int) -> None:
+        self.key, self.window, self.items = uuid.uuid4().hex, window, spark.sparkContext.broadcast(items)
+
+    def matcher(self) -> Matcher:
+        if not Block._held or Block._held[0] != self.key:
+            Block._held = (self.key, Matcher(self.items.value, self.window))
+        return Block._held[1]
 
 
 def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -87,43 +101,109 @@ def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items, in blocks that a worker's memory holds. They come by partitions, so that the driver holds one at a time."""
-    block, size = [], 0
+    block, size, any_ = [], 0, False
     for r in benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
         if size >= block_bytes:
             yield block
-            block, size = [], 0
-    yield block
+            block, size, any_ = [], 0, True
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+    if block or not any_:
+        yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids), spans (code points of the original), in one pass over the texts."""
-    held = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_bytes)]
+def _row(words: list[bytes], text: str, hit: np.ndarray, items: set[int]) -> tuple:
+    spans = _spans(text, hit) if items else []
+    return len(words), int(hit.sum()), sorted(items), [{"start": a, "end": z} for a, z in spans]
+
+
+_FOUND = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def matcher(b) -> Matcher:
-            key = (b.id if hasattr(b, "id") else id(b), window, len(b.value), b.value[0] if b.value else None)
-            if key not in _MATCHERS:
-                if len(_MATCHERS) >= 4:
-                    _MATCHERS.clear()
-                _MATCHERS[key] = Matcher(b.value, window)
-            return _MATCHERS[key]
 
+def _scanned(block: Block):
+    """All rows of one block's pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for text in batch["text"]:
                 words = words_of(text)
-                hit, items = np.zeros(len(words), bool), set()
-                for b in held:
-                    more, found = matcher(b).find(words)
-                    hit |= more
-                    items |= found.keys()
-                spans = _spans(text, hit) if items else []
-                rows.append((doc_id, len(words), int(hit.sum()), sorted(items), [{"start": a, "end": z} for a, z in spans]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "items", "spans"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>")
+                hit, items = block.matcher().find(words)
+                rows.append(_row(words, text or "", hit, set(items)))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"]).assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())
+
+    return run
+
+
+def _hits(block: Block):
+    """Of one block's pass, the rows with a hit: which words are hit, and the items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["key"], batch["text"]):
+                hit, items = block.matcher().find(words_of(text))
+                if items:
+                    rows.append((key, np.flatnonzero(hit), sorted(items)))
+            yield pd.DataFrame(rows, columns=["key", "words", "items"]).astype({"key": "int64"})
+
+    return run
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for text, found in zip(batch["text"], batch["found"]):
+            words = words_of(text)
+            hit, items = np.zeros(len(words), bool), set()
+            for x in found if found is not None else []:
+                hit[x["words"]] = True
+                items.update(x["items"])
+            rows.append(_row(words, text or "", hit, items))
+        yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"]).assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted ids), spans (code points of the original): one pass over the texts for a block."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = item_blocks(benchmark, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    columns = ["doc_id", "n_words", "n_hit", "items", "spans"]
+    if following is None:
+        return docs.mapInPandas(_scanned(Block(spark, block, window)), f"{_FOUND}, doc_id long").select(*columns)
+    t, k, hits = Tables(spark), 0, None
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))  # rows with equal id and text have equal hits
+    while block is not None:
+        held = Block(spark, block, window)
+        some = t.write(f"hits_{k}", keyed.select("key", "text").mapInPandas(_hits(held), "key long, words array<int>, items array<long>"))
+        held.items.destroy()
+        some = some.groupBy("key").agg(F.any_value(F.struct("words", "items")).alias("found"))
+        hits, block, following, k = some if hits is None else hits.union(some), following, next(blocks, None), k + 1
+    hits = t.write("hits", hits.groupBy("key").agg(F.collect_list("found").alias("found")))  # at most a row for each block
+    return keyed.join(hits, "key", "left").select("doc_id", "text", "found").mapInPandas(_joined, f"{_FOUND}, doc_id long").select(*columns)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs whose text holds no window of any item, in the columns of docs."""
+
+    def clean(block: Block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not block.matcher().find(words_of(text.as_py()))[1] for text in batch.column("text")]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    t, k, blocks = Tables(docs.sparkSession), 0, item_blocks(benchmark, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        docs = docs.mapInArrow(clean(Block(docs.sparkSession, block, window)), docs.schema)
+        if following is not None:  # one automaton at a time
+            docs = t.write(f"clean_{k}", docs)
+        block, k = following, k + 1
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,22 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert after["pii"].where("doc_id = 24").first().text.endswith("Mail me at <EMAIL> today.")
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(packed["doc_id"]) == {*range(20), 24} and packed["sequence_id"].nunique() == -(-packed["length"].sum() // packing.CAPACITY)
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null ids, ids that rows share, repeated rows, columns with clashing names; and an empty table."""
+    rng = random.Random(5)
+    sentence = lambda n: " ".join(f"word{rng.randint(0, 300)}" for _ in range(n)) + "."
+    a, b, c, d, leak = (sentence(60) for _ in range(5))
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "y"), (None, b, "z"), (None, b, "z"), (3, f"{c}\n{leak}", "p"), (3, d, "q"), (None, f"{d} {d[:20]}.\n{leak}", "r")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    empty = frame.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame, empty = stage(spark, frame, str(tmp_path)).checkpoint(), stage(spark, empty, str(tmp_path)).checkpoint()
+        assert frame.columns == ["doc_id", "text", "kept"] and empty.count() == 0
+        if name == "near_dedup":
+            assert sorted(r.kept for r in frame.collect()) == ["p", "q", "r", "x", "z"]
+    assert sorted(r.kept for r in frame.collect()) == ["q", "x", "z"]
+    assert packing.pack(empty).count() == 0

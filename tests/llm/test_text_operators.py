@@ -59,6 +59,31 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.scan(docs(spark, []), bench).count() == 0 and decontamination.scan(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_in_many_blocks(spark):
+    """Eight blocks, and two benchmarks of one size in one session."""
+    for seed in (1, 2):
+        items = [(i, " ".join(words(12, 100 * seed + i))) for i in range(8)]
+        texts = [f"x y z {items[k][1]} z {items[-1 - k][1]}" for k in range(4)] + [" ".join(words(60, 7)), None]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        for size in (10, 8_000_000):
+            got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontamination.scan(docs(spark, texts), bench, block_bytes=size).collect()}
+            assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+            left = decontamination.drop_contaminated(docs(spark, texts), bench, block_bytes=size)
+            assert {r.doc_id for r in left.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]} and left.columns == docs(spark, []).columns
+
+
+def test_decontamination_judges_rows_not_ids(spark):
+    """Repeated rows, null ids, shared ids, columns with clashing names, a very long text."""
+    leak = " ".join(words(10, 5))
+    rows = [(1, leak, "a"), (1, leak, "a"), (1, "clean words here", "b"), (None, leak, "c"), (None, "clean", "d"), (2, "filler " * 200_000 + leak, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    bench = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    for size in (8_000_000, 1):
+        found = decontamination.scan(df, bench.union(bench.selectExpr("8", "'never seen'")), block_bytes=size).collect()
+        assert sorted((r.doc_id or -1, r.n_words, r.n_hit) for r in found) == [(-1, 1, 0), (-1, 10, 10), (1, 3, 0), (1, 10, 10), (1, 10, 10), (2, 200_010, 10)]
+    assert sorted((r.doc_id or -1, r["items"]) for r in decontamination.drop_contaminated(df, bench).collect()) == [(-1, "d"), (1, "b")]
+
+
 # Quality rules
 
 CLEAN = "The river ran past the old mill and the children watched it turn.\nNobody had told them that the wheel was older than the town."
