@@ -14,25 +14,27 @@ from postloom.llm.common import cut, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, with their failing lines removed. Null and empty texts fail; repeated rows are judged one by one."""
     return quality_rules.clean(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an id can't be told apart, and stay."""
-    dropped = near_dedup.groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays, by shingles of five words; which one, and rows without an id or repeated ones: as deduplicate() says."""
+    return near_dedup.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontamination.scan(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark passage go, each judged by its own text, whatever its id."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; personal data in their texts becomes its kind."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows with their sequences; a null text is empty."""
     return packing.pack(docs)
 
 
