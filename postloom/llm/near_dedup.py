@@ -46,7 +46,7 @@ TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - (THRESHOLD / 100) ** LEVEL
 #: Trees whose nodes are compared first in dense groups.
 FIRST = 3
 #: Classes that are compared at once.
-BLOCK = 256
+BLOCK = 128
 #: Agreeing coordinates, of COORDINATES, from which a pair is compared in full: four standard deviations below the threshold.
 LIKELY = int(COORDINATES * THRESHOLD / 100 - 4 * (COORDINATES * THRESHOLD / 100 * (1 - THRESHOLD / 100)) ** 0.5)
 _U = np.uint64
@@ -347,10 +347,11 @@ def groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
     # the full set of each class that is compared
     needed = together.select(F.col("v").alias("cls")).union(large.select("cls")).distinct()
     needed = t.write("needed", needed.join(classes.select("cls", "key"), "cls"))
-    sets_name, sets = "sets", t.write("sets", docs.select("key", "text").join(needed, "key").mapInArrow(_sets(words), "cls long, tokens binary"))
+    sets_name, sets = "sets", t.write("sets", docs.select("key", "text").join(needed.hint("merge"), "key").mapInArrow(_sets(words), "cls long, tokens binary"))
     made, distinct = sets.agg(F.count("cls"), F.count_distinct("cls")).first()
     if distinct != needed.count():
         raise RuntimeError("the documents are not those that were read before: read docs from a table or a checkpoint")
+    t.drop("needed")
     if made > distinct:  # rows with equal id and text
         sets_name, sets = "sets_once", t.write("sets_once", sets.dropDuplicates(["cls"]))
         t.drop("sets")
@@ -367,7 +368,7 @@ def groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
         cells = by_unit(cells.join(sketches, "cls").withColumn("tree", F.lit(0).cast("long")), _likely, "unit long, head long, cls long, tree long")
         apart = apart.union(labelled(cells.select("unit", "cls").distinct(), joined, "cls", "c").select("unit", "cls", "c"))
     last = components(t, t.write("last_links", confirmed(apart)), "last")
-    t.drop("parts", "likely", "needed", sets_name, *[f"nodes_{k}" for k in range(len(small))])
+    t.drop("parts", "likely", sets_name, *[f"nodes_{k}" for k in range(len(small))])
 
     linked = labelled(labelled(classes.select("cls", "key", "doc_id"), joined, "cls", "c1"), last, "c1", "c")
     firsts = t.write("firsts", linked.groupBy("c").agg(first.alias("first")).select("c", F.col("first.key").alias("first_key"), F.col("first.doc_id").alias("first_id")))

@@ -1,16 +1,18 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Strict patterns find the base spans, which always stay. Looser patterns of the same kinds find further candidates. Labelers
-vote on every candidate, for, against or not at all: the strict pattern, gazetteers (top-level domains, issuer and calling
-prefixes, reserved networks), the words just before, and the characters on both sides. Expectation-maximisation over the
-counts of vote patterns estimates each labeler's reliability for each kind, and its posteriors train a logistic span
-classifier on the votes, the kind and the span's shape, which is compiled into a column and decides the loose candidates.
-All that leaves Spark is the table of vote patterns, which is bounded by the labelers.
+Strict patterns find the base spans, which always stay. Looser patterns find further candidates, of the same kinds and of one
+more, secrets (keys and tokens); what overlaps a base span is none. Labelers vote on every candidate, for, against or not at
+all: the strict pattern, gazetteers (top-level domains, issuer and calling prefixes, reserved networks, forms of keys), the
+words just before, the characters on both sides, and checks of the digits. Expectation-maximisation over the counts of vote
+patterns estimates each labeler's reliability for each kind, and its posteriors train a logistic span classifier on the
+votes, the kind and the span's shape, which is compiled into a column and decides the loose candidates. All that leaves
+Spark is the table of vote patterns, which is bounded by the labelers. Only shares of counts enter the fits, so that a
+corpus of any size with the same shares gives the same classifier, but for the pseudo-counts.
 
 Offsets are code points. They come from the lengths of the pieces between matches, as the text is split by its matches.
 
 Defined results: a null text is empty and has no span; repeated rows and null ids are judged one by one; other columns pass
-through the pipeline stage untouched. A loose candidate that overlaps a kept span of any kind is not added.
+through the pipeline stage untouched. Of loose spans that overlap each other, that of the first kind is added.
 """
 
 from __future__ import annotations
@@ -21,30 +23,39 @@ from pyspark.sql import functions as F
 
 from postloom.llm.common import cut, table
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = KINDS[:4]
 #: The contracts' patterns, with possessive repeats and starts at the first character of a run: the same matches, found in
 #: linear time and without deep recursion.
 STRICT = {
     "email": "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
     "ip": "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
-    "card": "[0-9](?:[\\x20-]?[0-9])++",
+    "card": "(?<![0-9])(?<![0-9][\\x20-])[0-9](?:[\\x20-]?[0-9]){11,}+",  # shorter ones fail the check
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
-#: Looser forms: addresses spelled out, numbers without the country prefix, hexadecimal addresses, other account numbers.
+#: Looser forms: addresses spelled out, hexadecimal addresses, other account numbers and card numbers that fail the checksum,
+#: numbers without the country prefix, and long strings of letters and digits.
 LOOSE = {
     "email": "(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\\[(](?:at|@)[\\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\\.|[\\[(](?:dot|\\.)[\\])]) ?[A-Za-z0-9-]{2,63}+)+",
     "ip": "(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])",
-    "card": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": "(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[0-9]{4}(?:[\\x20-]?[0-9]{4}){3})(?![A-Za-z0-9])",
     "phone": "(?<![0-9A-Za-z.+-])\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "secret": "(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/-]{0,255}[0-9])(?=[0-9_+/-]{0,255}[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}",
 }
 #: A text without these characters cannot have a match, so most texts are not searched.
-_NEEDS = {("email", True): "@", ("ip", True): "[0-9]\\.[0-9]", ("card", True): "[0-9][\\x20-]?[0-9]", ("phone", True): "\\+[0-9]", ("email", False): "(?i)[\\[(](?:at|@)[\\])]", ("ip", False): "[0-9A-Fa-f]:[0-9A-Fa-f]", ("card", False): "[A-Z]{2}[0-9]{2}", ("phone", False): "[0-9]{3}\\)?[ .-][0-9]{3}"}
+_NEEDS = {("email", True): "@", ("ip", True): "[0-9]\\.[0-9]", ("card", True): "[0-9](?:[\\x20-]?[0-9]){11}", ("phone", True): "\\+[0-9]", ("email", False): "(?i)[\\[(](?:at|@)[\\])]", ("ip", False): "[0-9A-Fa-f]:[0-9A-Fa-f]", ("card", False): "[A-Z0-9]{2}[0-9]{2}[\\x20-]?[A-Z0-9]{4}", ("phone", False): "[0-9]{3}\\)?[ .-][0-9]{3}", ("secret", False): "[A-Za-z0-9_+/-]{20}"}
 #: Fixed values of the gazetteers.
 _DOMAINS = "com|org|net|edu|gov|mil|int|info|io|dev|app|biz|co|uk|de|fr|es|it|nl|ch|at|be|eu|us|ca|au|jp|cn|in|br|ru|se|no|dk|fi|pl|pt|cz|mx|ar"
 _CALLING = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-6][0-9]|3[578][0-9]|42[0-3]|5[09][0-9]|6[7-9][0-9]|8[05-8][0-9]|9[679][0-9]"
-_CUES = {"email": "mail|contact|write|@", "ip": "ip|addr|host|server|from", "card": "card|visa|credit|debit|account|iban|pay|tarjeta|carte|karte", "phone": "phone|tel|call|mobile|fax|cell|contact"}
+_CUES = {"email": "mail|contact|write|@", "ip": "ip|addr|host|server|from", "card": "card|visa|credit|debit|account|iban|pay|tarjeta|carte|karte", "phone": "phone|tel|call|mobile|fax|cell|contact", "secret": "token|secret|passw|api.?key|access|bearer|auth|credential|private"}
+_OTHER = {"secret": "sha|md5|commit|digest|checksum|etag|hash|uuid|/"}
+#: Forms of keys: hexadecimal strings of the usual lengths, and prefixes that issuers give.
+_KEYS = "^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?:sk|pk|rk)[-_].*|gh[pousr]_.*|AKIA[A-Z0-9]{16}|xox[a-z]-.*|eyJ[A-Za-z0-9_-]+|AIza.*)$"
 BEFORE = 24
 _PRIOR = {True: 0.9, False: 0.3}
+#: What votes for and against multiply and divide the odds by before anything is known of their labelers.
+_VOTE = {"v1": (3.0, 3.0), "v2": (6.0, 20.0), "v3": (1.2, 4.0), "v4": (3.0, 30.0)}
+RIDGE = 1e-6
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -107,47 +118,59 @@ def _gazetteer(kind: Column, m: Column) -> Column:
     private = m.rlike("^0*(?:0|127|22[4-9]|2[3-5][0-9])\\.")
     return (
         F.when(kind == 0, _vote(domain, ~domain)).when(kind == 1, _vote(~private, private))
-        .when(kind == 2, _vote(m.rlike("^(?:[3-6]|2[2-7]|[A-Z]{2})"), m.rlike("^[01]"))).otherwise(_vote(m.rlike(f"^\\+(?:{_CALLING})"), m.rlike("^\\+0|^\\(?[01]")))
+        .when(kind == 2, _vote(m.rlike("^(?:[3-6]|2[2-7]|[A-Z]{2})"), m.rlike("^[01]"))).when(kind == 4, _vote(m.rlike(_KEYS))).otherwise(_vote(m.rlike(f"^\\+(?:{_CALLING})"), m.rlike("^\\+0|^\\(?[01]")))
     )
 
 
 def _context(kind: Column, before: Column) -> Column:
     out = F.lit(0)
     for k, name in enumerate(KINDS):
-        out = F.when(kind == k, _vote(before.rlike(_CUES[name]), before.rlike("version|order|isbn|part no|serial|sku"))).otherwise(out)
+        out = F.when(kind == k, _vote(before.rlike(_CUES[name]), before.rlike(_OTHER.get(name, "version|order|isbn|part no|serial|sku")))).otherwise(out)
     return out
 
 
+def _check(kind: Column, m: Column) -> Column:
+    """Cards by the checksum; secrets by their digits: long names have few."""
+    digits = F.length(_digits(m))
+    card = _vote(m.rlike("^[0-9]") & luhn(_digits(m)), m.rlike("^[0-9]"))
+    return F.when((kind == 2) & (digits > 0), card).when(kind == 4, F.when(digits * 16 < F.length(m), 2).otherwise(0)).otherwise(0)
+
+
 def voted(x: Column) -> Column:
     """A candidate with its votes and its shape."""
     joined = F.substring(x["before"], -1, 1).rlike("[a-z0-9_]") | x["after"].rlike("[A-Za-z0-9_]")
     return F.struct(
         x["kind"].alias("kind"), x["strict"].alias("strict"), x["s"].alias("s"), x["e"].alias("e"),
-        _vote(x["strict"]).alias("v0"), _gazetteer(x["kind"], x["m"]).alias("v1"), _context(x["kind"], x["before"]).alias("v2"), _vote(~joined, joined).alias("v3"),
+        _vote(x["strict"]).alias("v0"), _gazetteer(x["kind"], x["m"]).alias("v1"), _context(x["kind"], x["before"]).alias("v2"), _vote(~joined, joined).alias("v3"), _check(x["kind"], x["m"]).alias("v4"),
         F.least(F.lit(3), F.floor((x["e"] - x["s"]) / 8)).cast("int").alias("shape"),
     )
 
 
-VOTES = ("v0", "v1", "v2", "v3")
+VOTES = ("v0", "v1", "v2", "v3", "v4")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and __c, its candidates in order of start and kind, of the given rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = F.concat(*[_candidates(F.col("__text"), k, strict) for k in KINDS for strict in (True, False)])
-    found = docs.withColumn("__text", text).withColumn("__found", every)
-    return found.withColumn("__c", F.transform("__found", voted)).drop("__text", "__found")
+    found = docs.withColumn("__text", text).withColumn("__base", F.concat(*[_candidates(F.col("__text"), k, True) for k in BASE]))
+    found = found.withColumn("__more", F.concat(*[_candidates(F.col("__text"), k, False) for k in KINDS]))
+    free = F.filter("__more", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return found.withColumn("__c", F.transform(F.concat("__base", free), voted)).drop("__text", "__base", "__more")
 
 
 def reliabilities(table_: list[dict], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """For counted vote patterns: P(vote | class) by kind and labeler, and each pattern's posterior of being personal data.
 
-    Expectation-maximisation from the prior that strict matches mostly are, with pseudo-counts so that no vote is certain.
+    Expectation-maximisation from the priors that strict matches mostly are, others mostly are not, and that votes speak for
+    what they say; with pseudo-counts so that no vote is certain.
     """
     n = np.array([r["n"] for r in table_], float)
     kind, votes = np.array([r["kind"] for r in table_]), np.array([[r[v] for v in VOTES] for r in table_])
     start = np.array([_PRIOR[r["strict"]] for r in table_])
-    post, rates = start, None
+    start = start / (1 - start)
+    for j, v in enumerate(VOTES[1:], 1):
+        start = start * np.where(votes[:, j] == 1, _VOTE[v][0], np.where(votes[:, j] == 2, 1 / _VOTE[v][1], 1.0))
+    post, rates = start / (1 + start), None
     for _ in range(rounds):
         rates = np.zeros((len(KINDS), len(VOTES), 2, 3))
         odds = np.zeros((len(KINDS), 2))
@@ -168,10 +191,10 @@ def _features(r: dict) -> list[float]:
     return [1.0, *[float(r["kind"] == k) for k in range(len(KINDS))], *[float(r[v] == x) for v in VOTES for x in (1, 2)], *[float(r["shape"] == s) for s in range(4)]]
 
 
-def classifier(table_: list[dict], post: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic model of the posteriors on the span's features, by Newton steps on the counted patterns."""
+def classifier(table_: list[dict], post: np.ndarray, rounds: int = 30, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of a logistic model of the posteriors on the span's features, by Newton steps on the shares of the patterns."""
     x, n = np.array([_features(r) for r in table_]), np.array([r["n"] for r in table_], float)
-    n = np.minimum(n, 1e6)
+    n /= n.sum()
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -186,10 +209,12 @@ def _accepted(x: Column, w: np.ndarray) -> Column:
     score = F.lit(w[0])
     for k in range(len(KINDS)):
         score = score + F.when(x["kind"] == k, w[1 + k]).otherwise(0.0)
+    at = 1 + len(KINDS)
     for j, v in enumerate(VOTES):
-        score = score + F.when(x[v] == 1, w[5 + 2 * j]).when(x[v] == 2, w[6 + 2 * j]).otherwise(0.0)
+        score = score + F.when(x[v] == 1, w[at + 2 * j]).when(x[v] == 2, w[at + 1 + 2 * j]).otherwise(0.0)
+    at += 2 * len(VOTES)
     for s in range(4):
-        score = score + F.when(x["shape"] == s, w[13 + s]).otherwise(0.0)
+        score = score + F.when(x["shape"] == s, w[at + s]).otherwise(0.0)
     return x["strict"] | (score > 0)
 
 
@@ -197,15 +222,17 @@ def train(found: DataFrame) -> np.ndarray:
     """The classifier's weights, from the candidates() of all documents."""
     counted = found.select(F.explode("__c").alias("c")).select("c.*").groupBy("kind", "strict", *VOTES, "shape").agg(F.count(F.lit(1)).alias("n"))
     rows = sorted((r.asDict() for r in counted.collect()), key=lambda r: tuple(r[k] for k in ("kind", "strict", *VOTES, "shape")))  # bounded by the labelers
-    return classifier(rows, reliabilities(rows)[1]) if rows else np.zeros(17)
+    return classifier(rows, reliabilities(rows)[1]) if rows else np.zeros(5 + len(KINDS) + 2 * len(VOTES))
 
 
 def spans(found: DataFrame, w: np.ndarray) -> DataFrame:
     """candidates() with __spans instead of __c: array<struct<s, kind, e, strict>>, in order of start and kind."""
-    out = found.withColumn("__base", F.filter("__c", lambda x: x["strict"])).withColumn("__more", F.filter("__c", lambda x: ~x["strict"] & _accepted(x, w)))
-    free = F.filter("__more", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    slim = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), x["strict"].alias("strict")))
-    return out.withColumn("__spans", F.sort_array(F.concat(slim(F.col("__base")), slim(free)))).drop("__c", "__base", "__more")
+    kept = F.filter("__c", lambda x: _accepted(x, w))
+    # loose spans of different kinds may overlap: the first kind stays
+    clash = lambda x, y: ~y["strict"] & (y["kind"] < x["kind"]) & (y["s"] < x["e"]) & (x["s"] < y["e"])
+    out = found.withColumn("__kept", kept).withColumn("__kept", F.filter("__kept", lambda x: x["strict"] | ~F.exists("__kept", lambda y: clash(x, y))))
+    slim = F.transform("__kept", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), x["strict"].alias("strict")))
+    return out.withColumn("__spans", F.sort_array(slim)).drop("__c", "__kept")
 
 
 def _line(spans_: Column) -> Column:
@@ -214,12 +241,12 @@ def _line(spans_: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of base spans by kind, their digest, and the line of all spans."""
+    """doc_id, the counts of base spans by kind, their digest, the line of all spans, and how many they are."""
     found = cut(candidates(docs.select("doc_id", "text")).drop("text"))
     found = spans(found, train(found))
     base = F.filter("__spans", lambda x: x["strict"])
     count = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.withColumn("__base", base).select("doc_id", *[count(k) for k in range(4)], F.sha2(_line(F.col("__base")), 256).alias("base_sha256"), _line(F.col("__spans")).alias("spans"))
+    return found.withColumn("__base", base).select("doc_id", *[count(k) for k in range(4)], F.sha2(_line(F.col("__base")), 256).alias("base_sha256"), _line(F.col("__spans")).alias("spans"), F.size("__spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -100,7 +100,11 @@ class PrefixCounter:
         self.bytes_of = of
         added = {t.content for t in self.library.get_added_tokens_decoder().values()}
         self.vocab = {to_bytes(s): i for s, i in model["vocab"].items() if s not in added}
-        self.longest = max(map(len, self.vocab))
+        tails: dict[bytes, set[int]] = {}
+        for token in self.vocab:
+            tails.setdefault(token[-3:] if len(token) > 2 else b"", set()).add(len(token))
+        #: By a prefix's last three bytes, the sizes of tokens that may end there, from the longest.
+        self.sizes = {tail: tuple(sorted(found | {1, 2}, reverse=True)) for tail, found in tails.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = [(self.vocab[to_bytes(a)], self.vocab[to_bytes(b)], self.vocab[to_bytes(a + b)]) for a, b in pairs]
         self.rank = {(a, b): k for k, (a, b, _) in enumerate(ids)}
@@ -148,12 +152,16 @@ class PrefixCounter:
 
     def word_counts(self, raw: bytes) -> list[int]:
         """counts[i]: tokens of the encoding of the first i bytes of one word."""
-        n, vocab = len(raw), self.vocab
+        n, vocab, sizes, beside = len(raw), self.vocab, self.sizes, self.beside
         counts, last = [0] * (n + 1), [-1] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = vocab.get(raw[start:end])
-                if token is not None and (not start or self._may_follow(last[start], token)):
+            for size in sizes.get(raw[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                start = end - size
+                token = vocab.get(raw[start:end]) if start >= 0 else None
+                if token is None:
+                    continue
+                apart = not start or beside.get((last[start], token))
+                if apart if apart is not None else self._may_follow(last[start], token):
                     counts[end], last[end] = counts[start] + 1, token
                     break
         return counts

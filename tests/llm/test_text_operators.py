@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,43 @@ def test_redaction_and_loose_spans(spark):
     assert "<EMAIL>" in out[1] and out[4] == "call <PHONE> today"
 
 
+def test_votes_decide_loose_spans(spark):
+    """Secrets are added; long names and card numbers that fail the checksum are not; nothing is without the votes."""
+    key = "ab12" * 10
+    texts = [f'set token = "{key}" here'] * 6 + ["the number 4111111111111112 is one"] * 6 + ["call_of_the_very_long_identifier_1 again"] * 3 + ["+1 (555) 123-4567 rings"] * 3
+    got = {r.doc_id: r.spans for r in pii.digest(docs(spark, texts)).collect()}
+    assert got == {i: f"secret:13:53" if i < 6 else "phone:0:17" if i > 14 else "" for i in range(len(texts))}
+    found = pii.candidates(docs(spark, texts)).cache()
+    assert all(r.n == 0 for r in pii.spans(found, np.zeros(100)).where("doc_id < 15").selectExpr("size(__spans) AS n").collect())
+    assert found.where("doc_id > 14").selectExpr("max(size(__c)) AS n").first().n == 1  # no fragment of a base span
+
+
+def test_reliabilities_against_simulated_labelers():
+    """Labelers of known reliability: the estimates come near, whatever the size of the corpus."""
+    rng = np.random.default_rng(1)
+    n = 40_000
+    truth = rng.random(n) < 0.4
+    right = {"v1": 0.9, "v2": 0.8, "v3": 0.95, "v4": 0.7}
+    votes = {v: np.where(rng.random(n) < p, truth, ~truth) for v, p in right.items()}
+    counts = Counter(zip(*[np.where(votes[v], 1, 2).tolist() for v in right]))
+    for times in (1, 1000, 10**9):
+        rows = [{"kind": 0, "strict": False, "v0": 0, **dict(zip(right, k)), "shape": 0, "n": c * times} for k, c in sorted(counts.items())]
+        rates, post = pii.reliabilities(rows)
+        for j, (v, p) in enumerate(right.items(), 1):
+            assert abs(rates[0, j, 1, 1] - p) < 0.03 and abs(rates[0, j, 0, 2] - p) < 0.03
+        w = pii.classifier(rows, post)
+        score = np.array([pii._features(r) for r in rows]) @ w
+        exact = [sum(np.log(p / (1 - p)) * (1 if r[v] == 1 else -1) for v, p in right.items()) + np.log(0.4 / 0.6) for r in rows]
+        assert all((a > 0) == (b > 0) for a, b in zip(score, exact) if abs(b) > 0.5)
+
+
+def test_digest_defined_cases(spark):
+    rows = [(None, "a@b.co", "x"), (1, "a@b.co", "x"), (1, "a@b.co", "x"), (2, None, "y"), (3, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    assert sorted((r.doc_id or -1, r.n_email, r.spans) for r in pii.digest(df).collect()) == [(-1, 1, "email:0:6"), (1, 1, "email:0:6"), (1, 1, "email:0:6"), (2, 0, ""), (3, 0, "")]
+    assert pii.digest(df.limit(0)).count() == 0 and pii.redact(df).columns == df.columns and pii.redact(df.limit(0)).count() == 0
+
+
 # Sharding
 
 
