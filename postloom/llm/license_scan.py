@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import sized_broadcast, table
+from postloom.llm.common import cut, sized_broadcast, table
 
 #: Spellings that license matching holds to be equal.
 SPELLINGS = {
@@ -37,26 +37,23 @@ _BSD_HEAD = """Redistribution and use in source and binary forms, with or withou
 _BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 """
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
 #: Whole license texts of the public domain of license lists, by their short names.
 TEXTS = {
     "0BSD": f"{_ISC_GRANT}.\n{_ISC_END}", "BSD-2-Clause": _BSD_HEAD + _BSD_END, "BSD-3-Clause": _BSD_HEAD + _BSD_NAMES + _BSD_END, "ISC": f"{_ISC_GRANT}{_ISC_KEEP}.\n{_ISC_END}",
-    "MIT": _MIT, "MIT License, headed": f"MIT License\n{_MIT}",
+    "MIT": _MIT, "MIT License, headed": f"MIT License\n{_MIT}", "Unlicense": _UNLICENSE,
 }
-#: One-line notices.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Licensed under the MIT License.",
-}
-#: More wordings, for scan() only: the registered query keeps to NOTICES, which its SQL has too.
-MORE_NOTICES = [(name, f"{verb} under the {title}.") for name, title in {"Apache-2.0": "Apache License, Version 2.0", "GPL-2.0": "GNU General Public License, version 2", "GPL-3.0": "GNU General Public License, version 3", "MIT": "MIT License"}.items() for verb in ("Licensed", "Released", "This work is licensed", "Distributed")]
+#: One-line notices, by name: Creative Commons in one wording, the others in four.
+_TITLES = {"Apache-2.0": "the Apache License, Version 2.0", "GPL-2.0": "the GNU General Public License, version 2", "GPL-3.0": "the GNU General Public License, version 3", "MIT": "the MIT License"}
+_VERBS = ("Licensed", "Released", "Distributed", "This work is licensed")
+NOTICES = [(f"CC-{x}-4.0", f"Licensed under CC {x} 4.0.") for x in ("BY", "BY-NC", "BY-SA")] + [(name, f"{verb} under {title}.") for name, title in _TITLES.items() for verb in _VERBS]
 _COPYRIGHT = "(?m)^[^\\n]{0,20}(copyright (\\(c\\)|[0-9]|by )|\\(c\\) ?[0-9]|all rights reserved)[^\\n]*$"
 #: A whole line that begins, after comment marks, as a copyright line: the word or sign, then a sign, year or name.
-_COPYRIGHT_LINE = "(?m)^[^a-z0-9\\n\\x{0080}-\\x{10FFFF}(]*(\\(c\\)(?=[^\\n]*[0-9]{4})|\\x{00A9}|copyright(?= *[(\\[<{\\x{00A9}]| *[0-9]| [^\\n]*[0-9]{4}| *:| by ))[^\\n]*$"
+_COPYRIGHT_LINE = "(?m)^[^a-z0-9\\n\\x{0080}-\\x{10FFFF}(]*(\\(c\\)[^\\n]*[0-9]{4}|\\x{00A9}|copyright( *[(\\[<{\\x{00A9}]| *[0-9]| [^\\n]*[0-9]{4}| *:| by ))[^\\n]*$"
 
 
 def canonical(text: Column) -> Column:
@@ -78,20 +75,28 @@ def known_digests(spark: SparkSession, texts: dict[str, str] | list[tuple[str, s
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame, most_known: int = 100_000) -> DataFrame:
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
+
+
+def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame, most_known: int = 1000) -> DataFrame:
     """doc_id, digest, license_id (of the whole text) and notices (sorted names of the known notices in its lines).
 
-    texts and notices: license_id and digest. Whole texts are joined, and broadcast up to `most_known` rows; notices are a
-    short list by their nature and become a map in the plan.
+    texts and notices: license_id and digest. Whole texts are joined, and broadcast up to `most_known` rows. Up to as many
+    notices become a map in the plan; more are joined by the digests of lines.
     """
     names = {r["digest"]: r["license_id"] for r in notices.limit(most_known + 1).collect()}
-    if len(names) > most_known:
-        raise ValueError(f"more than {most_known} notices")
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else F.create_map().cast("map<string,string>")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    found = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
-    whole = F.when(F.length(F.trim("text")) > 0, digest(F.col("text")))
-    out = docs.select("doc_id", whole.alias("digest"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(found)), ","), F.lit("")).alias("notices"))
+    docs = docs.select("doc_id", "text", F.when(F.length(F.trim("text")) > 0, digest(F.col("text"))).alias("digest"))
+    if len(names) <= most_known:
+        lookup = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else F.create_map().cast("map<string,string>")
+        found = F.filter(F.transform(_lines(F.col("text")), lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
+        out = docs.withColumn("found", found)
+    else:
+        key = F.xxhash64("text").alias("key")  # rows with equal texts have equal notices
+        lines = docs.select(key, F.explode(F.array_distinct(F.transform(_lines(F.col("text")), digest))).alias("line")).distinct()
+        found = lines.join(notices.select(F.col("digest").alias("line"), "license_id"), "line").groupBy("key").agg(F.collect_set("license_id").alias("found"))
+        out = docs.withColumn("key", key).join(cut(found), "key", "left")
+    out = out.select("doc_id", "digest", F.coalesce(F.array_join(F.array_sort(F.array_distinct("found")), ","), F.lit("")).alias("notices"))
     return out.join(sized_broadcast(texts, most_known), "digest", "left").select("doc_id", "digest", "license_id", "notices")
 
 
@@ -101,22 +106,22 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(x: str) -> str:
     """canonical() in SQL."""
-    x = f"regexp_replace(regexp_replace(lower({x}), '{_COPYRIGHT}', '', 'g'), '&', ' and ', 'g')"
+    x = f"regexp_replace(regexp_replace(regexp_replace(lower({x}), '{_COPYRIGHT_LINE}', '', 'g'), '{_COPYRIGHT}', '', 'g'), '&', ' and ', 'g')"
     x = f"' ' || trim(regexp_replace({x}, '[^a-z0-9\\x{{0080}}-\\x{{10FFFF}}]+', ' ', 'g')) || ' '"
     for a, b in SPELLINGS.items():
         x = f"replace({x}, ' {a} ', ' {b} ')"
     return f"trim({x})"
 
 
-def _values(texts: dict[str, str]) -> str:
-    return ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in texts.items())
+def _values(texts: list[tuple[str, str]]) -> str:
+    return ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in texts)
 
 
 ORACLE_SQL = {
     "op7_license_scan": f"""
-WITH t AS (SELECT min(id) AS license_id, digest FROM (SELECT id, sha256({_sql("x")}) AS digest FROM (VALUES {_values(TEXTS)}) AS v(id, x)) GROUP BY digest),
+WITH t AS (SELECT min(id) AS license_id, digest FROM (SELECT id, sha256({_sql("x")}) AS digest FROM (VALUES {_values([*TEXTS.items()])}) AS v(id, x)) GROUP BY digest),
 n AS (SELECT min(id) AS name, digest FROM (SELECT id, sha256({_sql("x")}) AS digest FROM (VALUES {_values(NOTICES)}) AS v(id, x)) GROUP BY digest),
-l AS (SELECT doc_id, {_sql("x")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE len(x) <= 400 AND contains(lower(x), 'licen')),
+l AS (SELECT doc_id, {_sql("x")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE len(trim(x)) > 0),
 f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM l JOIN n ON sha256(l.form) = n.digest GROUP BY 1),
 d AS (SELECT doc_id, CASE WHEN len(trim(text)) > 0 THEN sha256({_sql("text")}) END AS digest FROM documents)
 SELECT d.doc_id, d.digest, t.license_id, coalesce(f.names, '') AS notices FROM d LEFT JOIN t ON d.digest = t.digest LEFT JOIN f ON d.doc_id = f.doc_id"""

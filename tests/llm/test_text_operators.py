@@ -121,9 +121,10 @@ def test_license_digests(spark):
 
 def test_license_notices_of_any_length_and_wording(spark):
     long = "Use is granted " + "to everyone and " * 40 + "for ever."
-    known = license_scan.known_digests(spark, [*license_scan.NOTICES.items(), *license_scan.MORE_NOTICES, ("Long", long), ("PD", "In the public domain.")])
+    known = license_scan.known_digests(spark, [*license_scan.NOTICES, ("Long", long), ("PD", "In the public domain.")])
     texts = ["a\nReleased under the MIT License.\nb", f"a\n{long}\n\nb", "in the  public domain\nLicensed under the MIT Licence"]
     got = {r.doc_id: r.notices for r in license_scan.scan(docs(spark, texts), known.limit(0), known).collect()}
+    assert got == {r.doc_id: r.notices for r in license_scan.scan(docs(spark, texts), known.limit(0), known, most_known=0).collect()}  # by a join
     assert got == {0: "MIT", 1: "Long", 2: "MIT,PD"}
 
 
@@ -137,6 +138,17 @@ def test_license_copyright_lines(spark):
     assert got == {i: "MIT" for i in range(len(forms) + 1)} | {len(forms) + 1: None}
 
 
+def test_license_defined_cases(spark):
+    known, notices = license_scan.known_digests(spark, license_scan.TEXTS), license_scan.known_digests(spark, license_scan.NOTICES)
+    mit = license_scan.TEXTS["MIT"]
+    rows = [(None, mit, "a"), (1, mit, "a"), (1, mit, "a"), (2, None, "b"), (3, " ", "c"), (4, "x" * 100_000 + "\nReleased under the MIT licence", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, notices string")
+    for most in (1000, 0):
+        got = sorted((r.doc_id or -1, r.license_id, r.notices) for r in license_scan.scan(df, known, notices, most).collect())
+        assert got == [(-1, "MIT", ""), (1, "MIT", ""), (1, "MIT", ""), (2, None, ""), (3, None, ""), (4, None, "MIT")]
+        assert license_scan.scan(df.limit(0), known, notices, most).count() == 0
+
+
 # Personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
