@@ -55,7 +55,10 @@ def dedup_posts(posts: DataFrame, within: list[str] | None = None) -> DataFrame:
 def _checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
@@ -63,7 +66,8 @@ def dedup_across_sources(posts: DataFrame, source: str = "source", order: tuple[
     """Within each source by key, then in order over all: a post goes if a post that stays before it has its key or content.
 
     A post stays for sure if it is the first undecided one of both its key and its content, and goes if a post that stays
-    shares either. Each round decides these, until none is left; a round is cut from the lineage of the last.
+    shares either. Each round decides these, until none is left; a round is cut from the lineage of the last. Firsts are cut
+    too, so that a join on a key or content of very many posts (as that of posts without text and date) can be split.
     """
     inside = dedup_posts(posts, [source])
     rank = F.struct(*order)
@@ -71,7 +75,7 @@ def dedup_across_sources(posts: DataFrame, source: str = "source", order: tuple[
     whole, kept = todo, None
     left = todo.select("__k", "__c", "__at")
     while not left.isEmpty():
-        first_k, first_c = left.groupBy("__k").agg(F.min("__at").alias("__fk")), left.groupBy("__c").agg(F.min("__at").alias("__fc"))
+        first_k, first_c = _checkpointed(left.groupBy("__k").agg(F.min("__at").alias("__fk"))), _checkpointed(left.groupBy("__c").agg(F.min("__at").alias("__fc")))
         stays = _checkpointed(left.join(first_k, "__k").join(first_c, "__c").where("__at = __fk and __at = __fc").select("__k", "__c", "__at"))
         kept = stays if kept is None else kept.union(stays)
         left = _checkpointed(left.join(stays.select("__k"), "__k", "left_anti").join(stays.select("__c"), "__c", "left_anti"))
@@ -91,7 +95,8 @@ def judge_urls(urls: DataFrame, site: str = SITE) -> DataFrame:
     """Each address (ord, url) with its canonical form and code: null for the first good one, or why it is not taken."""
     trimmed = F.trim(F.coalesce(F.col("url"), F.lit("")))
     seen = urls.withColumn("url", trimmed).withColumn("__v", classify_source(trimmed, site))
-    nth = F.row_number().over(Window.partitionBy("__v.normalized_url").orderBy("ord"))
+    alone = F.concat(F.lit("#"), F.col("ord").cast("string"))  # addresses without a canonical form don't gather in one task
+    nth = F.row_number().over(Window.partitionBy(F.coalesce("__v.normalized_url", alone)).orderBy("ord"))
     code = F.when(~F.col("__v.valid"), "invalid_url").when(F.col("__nth") > 1, "duplicate_url")
     return seen.withColumn("__nth", nth).select("ord", "url", F.col("__v.normalized_url").alias("normalized_url"), code.alias("code"), F.when(F.col("url") != "", F.col("__v.reason")).otherwise("empty").alias("reason"))
 

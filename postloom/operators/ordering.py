@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def capped(df: DataFrame, keys: list[str], order: list[str], most: int | None) -> DataFrame:
     """The first rows of each key; all of them without a cap."""
     if not most:

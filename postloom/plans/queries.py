@@ -489,8 +489,7 @@ _DOM_ROWS = "SELECT conv_id AS page_key, turn AS ord, CASE WHEN turn % 2 = 0 THE
 @query(f"""WITH p AS ({_DOM_ROWS.format("conversations")}), c AS (SELECT *, lower(trim(regexp_replace(text, '{_WS}', ' ', 'g'))) AS t FROM p)
 SELECT page_key, ord FROM c a WHERE NOT (post_id IS NULL AND coalesce(text, '') <> '' AND EXISTS (SELECT 1 FROM c b WHERE b.page_key = a.page_key AND b.ord < a.ord AND b.post_id IS NOT NULL AND b.text <> '' AND (contains(b.t, a.t) OR contains(a.t, b.t))))""")
 def j9_dom_copies(spark, sf):
-    readers.table(spark, sf, "conversations").createOrReplaceTempView("__conversations")
-    return joins.drop_dom_copies(spark.sql(_DOM_ROWS.format("__conversations"))).select("page_key", "ord")
+    return joins.drop_dom_copies(spark.sql(_DOM_ROWS.format("{rows}"), rows=readers.table(spark, sf, "conversations"))).select("page_key", "ord")
 
 
 # Aggregations
@@ -648,6 +647,17 @@ def b5_across_sources(spark, sf):
     return dedup.dedup_across_sources(c).select("ord")
 
 
+@query(f"""{S('texts').replace("WITH ", "WITH RECURSIVE ", 1)}, n AS (SELECT source, ord, (ord % 97)::VARCHAR AS k, substr(coalesce({_T}, ''), 1, 200) AS c FROM texts_v),
+i AS (SELECT *, row_number() OVER (ORDER BY source, ord) AS i FROM (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY ord) AS nth FROM n) WHERE nth = 1),
+r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ks, []::VARCHAR[] AS cs, NULL::BIGINT AS ord UNION ALL
+SELECT i.i, CASE WHEN list_contains(ks, k) OR list_contains(cs, c) THEN ks ELSE list_append(ks, k) END, CASE WHEN list_contains(ks, k) OR list_contains(cs, c) THEN cs ELSE list_append(cs, c) END,
+CASE WHEN list_contains(ks, k) OR list_contains(cs, c) THEN NULL ELSE i.ord END FROM r JOIN i ON i.i = r.i + 1) SELECT ord FROM r WHERE ord IS NOT NULL""")
+def b5_chains_across_sources(spark, sf):
+    """Keys and contents that cross: a post dropped for its content no longer keeps others of its key away."""
+    c = _canonical(spark, sf).withColumns({"post_id": (F.col("ord") % 97).cast("string"), "timestamp": F.lit(None).cast("long"), "published_at": F.lit(None).cast("timestamp")})
+    return dedup.dedup_across_sources(c).select("ord")
+
+
 _JSON = "CASE WHEN {0} IS NULL THEN 'null' ELSE to_json({0})::VARCHAR END"
 
 
@@ -797,13 +807,23 @@ def s12_error_rows(spark, sf):
 # Batch twins of the streams
 
 
-@query("SELECT user_id AS job_id, max(event_id % 6) AS n FROM events GROUP BY 1")
+@query("""WITH n AS (SELECT user_id AS job_id, event_id % 6 AS source_id, max(event_id) AS seq FROM events GROUP BY 1, 2)
+SELECT job_id, count(*) AS sources, sum(seq % 11)::BIGINT AS discovered, sum(seq % 7)::BIGINT AS extracted, sum(seq % 5)::BIGINT AS duplicates_removed, sum(seq % 3)::BIGINT AS skipped, sum(seq % 2)::BIGINT AS failed FROM n GROUP BY 1""")
 def t4_latest_counters(spark, sf):
-    e = readers.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 6).alias("source_id"), F.col("event_id").alias("seq"), *[F.lit(1).alias(c) for c in streams.COUNTERS])
-    return streams.latest_counters(e).groupBy("job_id").agg(F.max("source_id").alias("n"))
+    e = readers.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 6).alias("source_id"), F.col("event_id").alias("seq"), *[(F.col("event_id") % k).alias(c) for c, k in zip(streams.COUNTERS, (11, 7, 5, 3, 2))])
+    newest = streams.latest_counters(e.where("seq % 4 > 0"), e.where("seq % 4 = 0"))
+    return newest.groupBy("job_id").agg(F.count(F.lit(1)).alias("sources"), *[F.sum(c).alias(c) for c in streams.COUNTERS])
 
 
 @query("""WITH w AS (SELECT unnest(list_transform(range(0, 5), lambda i: time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i))) AS start, event_type FROM events) SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) / 300.0::DOUBLE AS rate, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS failure_share FROM w GROUP BY ALL""")
 def t5_sliding_rates(spark, sf):
     out = streams.rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.select(time.iso(F.col("start")).alias("start"), "rate", "failure_share")
+
+
+@query("""WITH w AS (SELECT unnest(list_transform(range(0, 5), lambda i: time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i))) AS start, event_type FROM events),
+r AS (SELECT start, count(*) FILTER (event_type = 'error') > 0.05 * count(*) AS over FROM w GROUP BY start)
+SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start FROM r WHERE (SELECT count(*) FROM r x WHERE x.over AND x.start BETWEEN r.start - INTERVAL 4 MINUTE AND r.start) = 5""")
+def t5_alerts(spark, sf):
+    out = streams.alerts(streams.rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp"))))
+    return out.select(time.iso(F.col("start")).alias("start"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postloom.sources.readers import table
 
+#: A line's key: order and line number repeat, so part, supplier and quantity are in it too.
+_LINE = "(((l_orderkey * 8 + l_linenumber) * 200000 + l_partkey) * 1000 + l_suppkey) * 64 + CAST(floor(l_quantity) AS BIGINT)"
 _VIDEO = "l_returnflag = 'R' OR l_linenumber % 8 = 0"
 COLUMNS = {
     "users": ("customer", {
@@ -22,7 +24,7 @@ COLUMNS = {
         "target": "concat('https://www.social.example/Page', CAST(o_custkey % 97 AS STRING))",
     }),
     "posts": ("lineitem", {
-        "id": "((l_orderkey * 8 + l_linenumber) * 200000 + l_partkey) * 1000 + l_suppkey", "job_id": "l_orderkey", "source_id": "l_suppkey", "ord": "l_linenumber",
+        "id": _LINE, "job_id": "l_orderkey", "source_id": "l_suppkey", "ord": "l_linenumber",
         "post_id": "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_partkey % 50 AS STRING) END",
         "published_at": "CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE l_shipdate END", "scraped_at": "l_shipdate",
         "post_type": "CASE WHEN l_returnflag = 'R' THEN 'video' WHEN l_returnflag = 'A' THEN 'image' WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linestatus = 'O' THEN 'link' ELSE 'text' END",
@@ -32,7 +34,7 @@ COLUMNS = {
         "has_link": "l_partkey % 3 = 0",
     }),
     "engagement": ("lineitem", {
-        "id": "((l_orderkey * 8 + l_linenumber) * 200000 + l_partkey) * 1000 + l_suppkey", "likes": "CASE WHEN l_linenumber % 7 = 3 THEN NULL ELSE CAST(floor(l_quantity * 3) AS BIGINT) END", "reactions": "CAST(floor(l_quantity * 4) AS BIGINT)",
+        "id": _LINE, "likes": "CASE WHEN l_linenumber % 7 = 3 THEN NULL ELSE CAST(floor(l_quantity * 3) AS BIGINT) END", "reactions": "CAST(floor(l_quantity * 4) AS BIGINT)",
         "comments_count": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(floor(l_quantity) AS BIGINT) END", "shares": "l_partkey % 9",
         "views_count": "CASE WHEN l_linestatus = 'O' THEN CAST(floor(l_extendedprice) AS BIGINT) ELSE 0 END",
         "reaction_like_count": "l_partkey % 4", "reaction_love_count": "l_suppkey % 3", "reaction_care_count": "CAST(NULL AS BIGINT)", "reaction_haha_count": "l_linenumber % 2", "reaction_wow_count": "l_orderkey % 3",

@@ -9,10 +9,6 @@ from postloom import schemas
 from postloom.functions.text import as_json, joined
 from postloom.functions.time import iso, iso_and_epoch
 
-#: Names that consumers of the files know fields by, where they differ from the library's.
-WIRE_NAMES: dict[str, str] = {}
-
-
 def _edge(name: str, kind: str) -> Column:
     """A field as files have it: times as ISO text."""
     return iso_and_epoch(F.col(name))[0] if kind.startswith("timestamp") else F.col(name)
@@ -20,7 +16,7 @@ def _edge(name: str, kind: str) -> Column:
 
 def canonical(posts: DataFrame) -> DataFrame:
     """All 33 fields in order, as files have them."""
-    return posts.select(*[_edge(f.name, f.dataType.simpleString()).alias(WIRE_NAMES.get(f.name, f.name)) for f in schemas.CANONICAL_POST])
+    return posts.select(*[_edge(f.name, f.dataType.simpleString()).alias(f.name) for f in schemas.CANONICAL_POST])
 
 
 def flat(posts: DataFrame) -> DataFrame:
@@ -90,21 +86,21 @@ def workbook(posts: DataFrame, job_id: str, source: str, exported_at: str) -> di
 def write_batches(posts: DataFrame, path: str, rows: int = 500, partitions: int | None = None) -> None:
     """Newest first, in files of at most `rows` rows; file order is the order of the posts."""
     n = partitions or int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.desc_nulls_last("published_at"), F.desc("post_id")]
+    order = [F.desc_nulls_last("published_at"), F.desc("id" if "id" in posts.columns else "post_id")]
     posts.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
 
 
 FORMATS = ("json", "jsonl", "csv", "excel", "xlsx")
 
 
-def export(posts: DataFrame, fmt: str, path: str, job_id: str = "", source: str = "", exported_at: str = "") -> None:
-    """Dispatch by format; unknown formats are errors."""
+def export(posts: DataFrame, fmt: str, path: str, job_id: str = "", source: str = "", exported_at: str = "", one_file: bool = False) -> None:
+    """Dispatch by format; unknown formats are errors. JSON is written as lines in parts, unless one file is asked for."""
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     if fmt == "csv":
         write_csv(posts, path)
     elif fmt in ("json", "jsonl"):
-        write_json(posts, path, one_file=fmt == "json")
+        write_json(posts, path, one_file=one_file and fmt == "json")
     else:
         for name, sheet in workbook(posts, job_id, source, exported_at).items():
             sheet.write.mode("overwrite").parquet(f"{path}/{name}")
