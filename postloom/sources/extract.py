@@ -23,7 +23,6 @@ from postloom.operators.normalize import normalize_posts
 from postloom.sources import markup
 
 
-
 def _meta(html: Column, key: str) -> Column:
     """The content of the first meta element with a property or name."""
     tag = F.regexp_extract(html, f"(?i)<meta\\b(?=[^>]*\\b(?:property|name)=[\"']{key}[\"'])[^>]*>", 0)
@@ -428,11 +427,21 @@ def merged(feed: DataFrame, script: DataFrame, dom: DataFrame) -> DataFrame:
     return drop_dom_copies(placed)
 
 
-def extract(pages: DataFrame, as_of: Column, site: str = urls.SITE) -> tuple[DataFrame, DataFrame]:
-    """Canonical posts of pages (with page_key and ord), and the error rows of parts that couldn't be read."""
+WAYS = ("browser", "http")
+
+
+def extract(pages: DataFrame, as_of: Column, site: str = urls.SITE, way: str = "browser") -> tuple[DataFrame, DataFrame]:
+    """Canonical posts of pages (with page_key and ord), and the error rows of parts that couldn't be read.
+
+    Pages that a browser rendered give all that feed, scripts and containers have (X13); pages as they were fetched give
+    their containers' posts, or else their scripts' (X12).
+    """
+    if way not in WAYS:
+        raise ValueError(f"way must be one of {WAYS}")
     parts = dom_parts(pages)
     feed = feed_rows(feed_bodies(pages))
-    posts = merged(feed_posts(feed, site), script_posts(pages, site), posts_from_parts(parts, as_of, site))
+    shown, scripted = posts_from_parts(parts, as_of, site), script_posts(pages, site)
+    posts = merged(feed_posts(feed, site), scripted, shown) if way == "browser" else dom_or_script(shown, scripted)
     meta = page_meta(pages, site)
     joined = posts.join(meta.select("page_key", F.col("url").alias("__url"), "page_name", "page_id"), "page_key")
     canonical = normalize_posts(joined, F.col("page_name"), F.col("page_id"), F.col("__url"), as_of, keep=("page_key", "ord"))

@@ -20,9 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: raw pages; content_type says whether a body is HTML or feed JSON."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_key"), "url", "html")
+def typed(pages: DataFrame) -> DataFrame:
+    """S3: raw pages (page_key, url, html) with content_type, which says whether a body is HTML or feed JSON."""
     return pages.withColumn("content_type", F.when(F.ltrim("html").startswith("{"), "feed_json").otherwise("html"))
 
 
