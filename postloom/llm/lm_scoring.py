@@ -11,7 +11,7 @@ block, which scores its texts. A very common token is asked for once a block, so
 64-bit hashes.
 
 docs must give the same rows in the same partitions when read again, as a table scan or a checkpoint does; a block whose
-rows changed fails instead of scoring wrongly.
+keys changed fails instead of scoring wrongly: answers carry the sum of the keys that they answer.
 
 Defined results: a null or empty text is one token, the end; a null id counts as the empty text in the choice of training
 documents; repeated rows count and are scored each; other columns are not read.
@@ -31,6 +31,8 @@ from postloom.llm.common import cut, mix, partitions, table, word_hashes
 
 #: Rows of one block.
 BLOCK = 4096
+#: Bytes of text whose keys make a part, of which a task sums one at a time.
+PART_BYTES = 64_000_000
 FOLDS = 5
 HELD_OUT, DELETED = 1, 0  # remainders of crc32(id): never learned from; learned from, and used for the weights
 BUCKETS = 24
@@ -112,21 +114,25 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         spot = inverse[at : at + len(k)]
         at += len(k)
         rest = learned[spot] - a, deleted[spot] - b
-        out.append((block, int(rows["part"].iloc[0]), _packed(*rest), _packed(*(x[b > 0] for x in rest)), 0, 0, 0))
+        out.append((block, int(rows["part"].iloc[0]), _packed(*rest), _packed(*(x[b > 0] for x in rest)), 0, 0, 0, _sum(k), _sum(k[b > 0])))
     token = (known & _U(1)) == 0
-    out.append((-1, int(rows["part"].iloc[0]), None, None, int(learned[token].sum()), int((learned[token] > 0).sum()), int(deleted[token].sum())))
-    return pd.DataFrame(out, columns=["block", "part", "every", "held", "tokens", "distinct", "deleted"])
+    out.append((-1, int(rows["part"].iloc[0]), None, None, int(learned[token].sum()), int((learned[token] > 0).sum()), int(deleted[token].sum()), 0, 0))
+    return pd.DataFrame(out, columns=["block", "part", "every", "held", "tokens", "distinct", "deleted", "every_sum", "held_sum"])
+
+
+def _sum(keys: np.ndarray) -> int:
+    return int(mix(keys).sum(dtype=_U).astype(np.int64))
 
 
 def _total(keys: Keys, answers: pd.DataFrame, column: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts over all documents, of the block's keys: learned and deleted."""
     cuts = _bounds(keys.keys, parts)
     learned, deleted = keys.learned.copy(), keys.deleted.copy()
-    got = dict(zip(answers["part"], answers[column]))
+    got, sums = dict(zip(answers["part"], answers[column])), dict(zip(answers["part"], answers[f"{column}_sum"]))
     for p, (a, z) in enumerate(zip(cuts, cuts[1:])):
         if z > a:
-            rest = _unpacked(got[p], 2)
-            if rest.shape[1] != z - a:
+            rest = _unpacked(got[p], 2) if p in got else np.zeros((2, 0), np.int64)
+            if rest.shape[1] != z - a or sums[p] != _sum(keys.keys[a:z]):
                 raise RuntimeError("a block's documents are not those that it asked for: read docs from a table or a checkpoint")
             learned[a:z] += rest[0]
             deleted[a:z] += rest[1]
@@ -199,26 +205,27 @@ def _pack_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def score(docs: DataFrame, block: int = BLOCK, report: Callable[[dict], None] | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigrams) and score (log10 of the mixture)."""
-    parts = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-size // PART_BYTES))
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     row = F.monotonically_increasing_id()
     runs = F.spark_partition_id().cast("long") * F.lit(1 << 33) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / block)
     docs = docs.select(F.col("doc_id").cast("long"), "text", (fold != HELD_OUT).alias("learned"), (fold == DELETED).alias("deleted"), runs.alias("block"))
     asked = docs.mapInPandas(_ask(parts), "part int, block long, keys binary, counts binary")
-    answers = cut(asked.groupBy("part").applyInPandas(_answer, "block long, part int, every binary, held binary, tokens long, distinct long, deleted long"))
+    answers = cut(asked.groupBy("part").applyInPandas(_answer, "block long, part int, every binary, held binary, tokens long, distinct long, deleted long, every_sum long, held_sum long"))
     sums = answers.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "deleted")]).first()
     tokens, distinct = sums["tokens"], sums["distinct"]
     packed = docs.mapInPandas(_pack_texts, "doc_id long, learned boolean, deleted boolean, block long, packed binary")
     to_blocks = answers.where("block >= 0")
     cells = (
-        docs.where("deleted").mapInPandas(_pack_texts, packed.schema).groupBy("block").cogroup(to_blocks.select("block", "part", "held").groupBy("block"))
+        docs.where("deleted").mapInPandas(_pack_texts, packed.schema).groupBy("block").cogroup(to_blocks.select("block", "part", "held", "held_sum").groupBy("block"))
         .applyInPandas(_skipped(_cells(parts, tokens - sums["deleted"])), "bucket long, q2 long, q1 long, p2 double, p1 double, n double")
         .groupBy("bucket", "q2", "q1").agg(*[F.sum(c).alias(c) for c in ("p2", "p1", "n")])
     )  # at most a cell for each bucket and pair of rounded estimates
     share = weights(cells.select("bucket", "p2", "p1", "n").toPandas().sort_values(["bucket", "p2", "p1"]), 1 / (distinct + 1))
     if report:
         report({"tokens": tokens, "distinct": distinct, "weights": share})
-    scored = packed.groupBy("block").cogroup(to_blocks.select("block", "part", "every").groupBy("block"))
+    scored = packed.groupBy("block").cogroup(to_blocks.select("block", "part", "every", "every_sum").groupBy("block"))
     return scored.applyInPandas(_skipped(_scores(parts, tokens, distinct, share)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,9 +243,44 @@ def test_schedule_is_balanced_and_whole(spark):
     assert sharding.schedule([(5, 0), (4, 1), (3, 2), (3, 3)], 2) == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
+def test_shards_against_brute_force(spark):
+    """All groups are units, so the result is the whole schedule: the largest first, each to the least loaded."""
+    rng = random.Random(7)
+    texts = ["x" * rng.randint(0, 60) + str(rng.randint(0, 3)) for _ in range(300)] + [None, ""]
+    size: Counter = Counter()
+    for t in texts:
+        size[hashlib.md5((t or "").encode()).hexdigest()] += len(t or "") + 1
+    load, to = [0] * 5, {}
+    for group in sorted(size, key=lambda g: (-size[g], g)):
+        to[group] = min(range(5), key=lambda s: (load[s], s))
+        load[to[group]] += size[group]
+    rows = [(i % 200 or None, t, 1) for i, t in enumerate(texts)]  # repeated and null ids, a clashing column
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, shard int"), 5, parts=10**6).collect()
+    assert Counter((r.doc_id, r.size, r.shard) for r in got) == Counter((i, len(t or "") + 1, to[hashlib.md5((t or "").encode()).hexdigest()]) for i, t, _ in rows)
+
+
 # Language model
 
 
+def test_changed_documents_fail():
+    k = lm_scoring.Keys(["one two", "three"], np.ones(2, bool), np.ones(2, bool))
+    other = lm_scoring.Keys(["one two", "trois"], np.ones(2, bool), np.ones(2, bool))
+    answer = lambda x: lm_scoring._answer(pd.DataFrame([(0, 1, x.keys.tobytes(), lm_scoring._packed(x.learned, x.deleted))], columns=["part", "block", "keys", "counts"]))
+    answers = answer(k)
+    assert (lm_scoring._total(k, answers[answers["block"] == 1], "every", 1)[0] == k.learned).all()
+    with pytest.raises(RuntimeError):
+        lm_scoring._total(other, answers[answers["block"] == 1], "every", 1)
+
+
+def test_scores_defined_cases(spark):
+    """Null and repeated ids, clashing columns, a very long text, more parts than partitions."""
+    rows = [(None, "a b", 1), (None, "a b", 1), (1, "a b c " * 50_000, 2), (2, None, 3), (2, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learned int")
+    got = lm_scoring.score(df).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == [(-1, 3), (-1, 3), (1, 150_001), (2, 1), (2, 1)]
+    assert len({r.score for r in got if r.doc_id is None}) == 1 and len({r.score for r in got if r.doc_id == 2}) == 1
+
+
 def brute_scores(rows, block_weights):
     import math
     import zlib
@@ -290,6 +326,33 @@ def test_rules_of_a_forest():
     assert set(quality_classifier.rules_of(printed)) == {((2, True, 0.5),), ((1, True, 3.0), (2, True, 0.5)), ((1, False, 3.0), (2, True, 0.5)), ((2, False, 0.5),)}
 
 
+def test_statistics_and_compiled_score_against_brute_force(spark):
+    texts = ["one two two Three.\nfour, five!\n\nfour, five!", "A|B | 12 && ñ", "", None, "x" * 50_000]
+    frame, names = quality_classifier.with_statistics(docs(spark, texts))
+    got = {r.doc_id: r for r in frame.collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w, lines, chars = re.findall("[^\x20\x09-\x0d]+", t), [x for x in t.split("\n") if x], max(len(t), 1)
+        share = lambda p: len(re.findall(p, t)) / chars
+        want = {
+            "words": len(w), "word_length": sum(map(len, w)) / max(len(w), 1), "distinct": len(set(w)) / max(len(w), 1), "echoes": sum(a == b for a, b in zip(w, w[1:])) / max(len(w), 1), "symbols": share(r"[#*$%&<>~^=+@_\\]"),
+            "bars": share("[|]"), "stops": share("[.]"), "commas": share("[,;:]"), "marks": share("[!?]"), "capitals": share("[A-Z]"), "digits": share("[0-9]"), "line_words": len(w) / max(len(lines), 1), "line_repeats": 1 - len(set(lines)) / max(len(lines), 1),
+        }
+        assert all(got[i][f"_{k}"] == pytest.approx(v) for k, v in want.items()), (t[:40], want, got[i])
+    weighted = [(((0, False, 2.0), (9, False, 0.0)), 1.5), (((0, True, 3.0),), -0.75)]
+    for r in frame.select("doc_id", *names, quality_classifier.compiled(0.25, weighted, names).alias("score")).collect():
+        fired = [all(r[names[k]] <= b if below else r[names[k]] > b for k, below, b in rule) * weight for rule, weight in weighted]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-0.25 - sum(fired))))
+
+
+def test_classifier_defined_cases(spark):
+    rows = [(None, "a b", 1), (1, "a b", 1), (1, "a b", 1), (2, None, 0), (3, "y " * 100_000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    one_class = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+    got = quality_classifier.classify(df, one_class).collect()
+    assert len(got) == 5 and len({r.score for r in got}) == 1 and 0.5 < got[0].score < 1
+
+
 def test_classifier_on_held_out(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["river", "mill", "children", "watched", "turning", "slowly"]) for _ in range(40)) + "."
