@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from postloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries that one worker keeps of words' tables and of pairs of tokens, and of words' totals, before it begins anew.
+#: Entries that one worker keeps of words' tables and of pairs of tokens, and of words' totals, before it begins anew; of the
+#: tokenizer's own words, whose tables take the most time, four times as many. What is kept changes the time, never a count.
 KEPT = 200_000
 KEPT_TOTALS = 600_000
 
@@ -116,7 +117,7 @@ class PrefixCounter:
     def clear(self) -> None:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes | list[int]] = {}
         self.beside: dict[tuple[int, int], bool] = {}
         self.totals: dict[str, int] = {}
         self.firsts: dict[str, int] = {}
@@ -166,15 +167,17 @@ class PrefixCounter:
                     break
         return counts
 
-    def _word(self, mapped: str) -> list[int]:
+    def _word(self, mapped: str) -> bytes | list[int]:
         got = self.words.get(mapped)
         if got is None:
+            if len(self.words) > 4 * self.kept:
+                self.words.clear()
             raw = bytes(map(self.bytes_of.__getitem__, mapped))
             counts = self.word_counts(raw)
             got = [counts[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
             if len(got) == 3 and mapped in ("'re", "'ve", "'ll"):  # half of a contraction is split otherwise
                 got = [1, 2, got[2]]
-            self.words[mapped] = got
+            self.words[mapped] = got = bytes(got) if got[-1] < 256 and max(got) < 256 else got
         return got
 
     def _pieces(self, texts: list[str]) -> Iterator[bytes]:
@@ -213,8 +216,8 @@ class PrefixCounter:
     def _plain(self, text: str) -> np.ndarray:
         if self._SPACED.search(text):  # runs of white space are split by what follows them: take the text as one piece
             return np.frombuffer(self._piece(text), np.int32)
-        if len(self.first) + len(self.later) > self.kept or len(self.words) > self.kept:
-            self.first.clear(), self.later.clear(), self.words.clear()
+        if len(self.first) + len(self.later) > self.kept:
+            self.first.clear(), self.later.clear()
         head, *rest = text.split(" ")
         try:
             parts = [self.first[head], *map(self.later.__getitem__, rest)]
@@ -248,8 +251,8 @@ class PrefixCounter:
 
     def _learn(self, words: list[str]) -> None:
         """Totals of words, each with a space before it: the last counts of their prefix tables, which are kept too."""
-        if len(self.later) > self.kept or len(self.words) > self.kept:
-            self.later.clear(), self.words.clear()
+        if len(self.later) > self.kept:
+            self.later.clear()
         plain = [w for w in words if w and not self._SPACE.search(w)]
         self.later.update(zip(plain, self._pieces(plain)))
         for w in words:
