@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +34,32 @@ def flat(posts: DataFrame) -> DataFrame:
     return posts.select(*[cell(c) for c in schemas.FLAT_COLUMNS])
 
 
-def write_json(posts: DataFrame, path: str, one_file: bool = False) -> None:
-    """One JSON array with one_file, which an extract for readers of small files has; else S6's lines, in parts."""
-    if not one_file:
-        return write_jsonl(posts, path)
+#: Posts up to which a JSON export is one file.
+ONE_FILE = 100_000
+
+
+def write_json(posts: DataFrame, path: str, one_file: bool | None = None) -> None:
+    """JSON arrays, null fields kept. A small export is one file in the order of the posts, and a larger one if one_file asks
+    for it; else each part file is an array of its own, so that no task writes all of it.
+    """
+    if one_file is None:
+        one_file = posts.limit(ONE_FILE + 1).count() <= ONE_FILE
     rows = canonical(posts)
-    line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
-    framed = rows.select(F.monotonically_increasing_id().alias("i"), line.alias("line")).coalesce(1).sortWithinPartitions("i")
-    first, last = framed.agg(F.min("i"), F.max("i")).first()
-    if first is None:
-        return framed.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    framed.select(F.concat(F.when(F.col("i") == first, "[").otherwise(""), "line", F.when(F.col("i") == last, "]").otherwise(",")).alias("value")).write.mode("overwrite").text(path)
+    lines = rows.select(F.monotonically_increasing_id().alias("i"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    if lines.isEmpty():
+        return rows.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for b in (b for b in batches if b.num_rows):
+            marks = pa.array([mark, *[","] * (b.num_rows - 1)], pa.string())
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, b.column("value"), "")], ["value"])
+            mark = ","
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    lines = lines.coalesce(1).sortWithinPartitions("i") if one_file else lines
+    lines.select("value").mapInArrow(framed, "value string").write.mode("overwrite").text(path)
 
 
 def write_jsonl(posts: DataFrame, path: str) -> None:
@@ -93,14 +112,16 @@ def write_batches(posts: DataFrame, path: str, rows: int = 500, partitions: int
 FORMATS = ("json", "jsonl", "csv", "excel", "xlsx")
 
 
-def export(posts: DataFrame, fmt: str, path: str, job_id: str = "", source: str = "", exported_at: str = "", one_file: bool = False) -> None:
-    """Dispatch by format; unknown formats are errors. JSON is written as lines in parts, unless one file is asked for."""
+def export(posts: DataFrame, fmt: str, path: str, job_id: str = "", source: str = "", exported_at: str = "") -> None:
+    """Dispatch by format; unknown formats are errors."""
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     if fmt == "csv":
         write_csv(posts, path)
-    elif fmt in ("json", "jsonl"):
-        write_json(posts, path, one_file=one_file and fmt == "json")
+    elif fmt == "json":
+        write_json(posts, path)
+    elif fmt == "jsonl":
+        write_jsonl(posts, path)
     else:
         for name, sheet in workbook(posts, job_id, source, exported_at).items():
             sheet.write.mode("overwrite").parquet(f"{path}/{name}")

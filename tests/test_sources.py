@@ -44,6 +44,15 @@ def test_json_and_lines_round_trip(spark, tmp_path):
     assert {json.loads(x)["post_id"] for x in read_parts(tmp_path / "l").splitlines()} == {"1", "2"}
 
 
+def test_large_json_is_an_array_a_part(spark, tmp_path):
+    many = spark.range(40).select(F.col("id").cast("string").alias("post_id")).repartition(4)
+    rows = many.select(*[(F.col("post_id") if f.name == "post_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CANONICAL_POST])
+    export.write_json(rows, str(tmp_path / "p"), one_file=False)
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "p").glob("part-*") if p.stat().st_size]
+    assert len(parts) == 4 and sorted(int(r["post_id"]) for x in parts for r in x) == [*range(40)]
+    assert readers.read_posts(spark, str(tmp_path / "p")).count() == 40
+
+
 def test_workbook_and_batches(spark, tmp_path):
     export.export(sample(spark), "xlsx", str(tmp_path / "x"), "7", "s", "2024-06-15T10:00:00+00:00")
     assert dict(spark.read.parquet(str(tmp_path / "x/Metadata")).collect())["posts_count"] == "2"
