@@ -10,17 +10,19 @@ SITE = "social.example"
 TRACKING = ("fbclid", "ref", "source", "medium", "__cft__", "__tn__", "hc_entry", "action_type")
 #: First path segments that are no page or profile.
 RESERVED = (
-    "login login.php checkpoint recover reg register register.php r.php signup accounts dialog consent privacy privacycenter cookies cookie_policy terms legal policies help help.php "
-    "settings settings.php security data download watch reel reels stories story story.php photo photo.php video videos video.php live gaming groups events marketplace jobs offers places pages "
-    "showcase plugins share sharer sharer.php share.php search search.php findfriends find-friends friends messages messenger notifications business creators developers careers company climate "
-    "graph api ajax oauth external intl fundraisers fundraising pay payments m l d k i x t u q c n s permalink.php redir redirect"
-).split()
+    "login", "login.php", "checkpoint", "recover", "reg", "register", "register.php", "r.php", "signup", "accounts", "dialog", "consent", "privacy", "privacycenter", "cookies", "cookie_policy",
+    "terms", "legal", "policies", "help", "help.php", "settings", "settings.php", "security", "data", "download", "watch", "reel", "reels", "stories", "story", "story.php", "photo", "photo.php",
+    "video", "videos", "video.php", "live", "gaming", "groups", "events", "marketplace", "jobs", "offers", "places", "pages", "showcase", "plugins", "share", "sharer", "sharer.php", "share.php",
+    "search", "search.php", "findfriends", "find-friends", "friends", "messages", "messenger", "notifications", "business", "creators", "developers", "careers", "company", "climate", "graph", "api",
+    "ajax", "oauth", "external", "intl", "fundraisers", "fundraising", "pay", "payments", "m", "l", "d", "k", "i", "x", "t", "u", "q", "c", "n", "s", "permalink.php", "redir", "redirect",
+)
 #: Tabs of a page, which may follow its handle.
 TABS = (
-    "about about_profile_transparency photos albums videos reels reels_tab posts followers following friends likes reviews events notes timeline featured shops shop community info mentions media map "
-    "offers contact about_contact_and_basic_info about_places about_relationship about_family_and_relationships about_details about_work_and_education about_life_events about_username "
-    "about_contact about_likes groups checkins maha_info professional_skills"
-).split()
+    "about", "about_profile_transparency", "photos", "albums", "videos", "reels", "reels_tab", "posts", "followers", "following", "friends", "likes", "reviews", "events", "notes", "timeline",
+    "featured", "shops", "shop", "community", "info", "mentions", "media", "map", "offers", "contact", "about_contact_and_basic_info", "about_places", "about_relationship",
+    "about_family_and_relationships", "about_details", "about_work_and_education", "about_life_events", "about_username", "about_contact", "about_likes", "groups", "checkins", "maha_info",
+    "professional_skills",
+)
 _PARTS = "^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
 
 

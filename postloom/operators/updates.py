@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.operators.joins import plan_name
 
 
 def sweep_orphans(jobs: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -66,7 +65,3 @@ def backfill_plans(users: DataFrame) -> DataFrame:
     """Plans free and none become basic."""
     old = F.coalesce(F.col("plan"), F.lit("free")) == "free"
     return users.withColumn("plan", F.when(old, "basic").otherwise(F.col("plan")))
-
-
-def current_plan(plan: Column) -> Column:
-    return plan_name(plan)
