@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def sweep_orphans(jobs: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Jobs that ran when the service stopped fail, with their running sources and an error row; queued ones can go on.
 

@@ -647,8 +647,8 @@ def b5_across_sources(spark, sf):
     return dedup.dedup_across_sources(c).select("ord")
 
 
-@query(f"""{S('texts').replace("WITH ", "WITH RECURSIVE ", 1)}, n AS (SELECT source, ord, (ord % 97)::VARCHAR AS k, substr(coalesce({_T}, ''), 1, 200) AS c FROM texts_v),
-i AS (SELECT *, row_number() OVER (ORDER BY source, ord) AS i FROM (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY ord) AS nth FROM n) WHERE nth = 1),
+@query(f"""{S('texts').replace("WITH ", "WITH RECURSIVE ", 1)}, n AS MATERIALIZED (SELECT source, ord, (ord % 97)::VARCHAR AS k, substr(coalesce({_T}, ''), 1, 200) AS c FROM texts_v),
+i AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY source, ord) AS i FROM (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY ord) AS nth FROM n) WHERE nth = 1),
 r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ks, []::VARCHAR[] AS cs, NULL::BIGINT AS ord UNION ALL
 SELECT i.i, CASE WHEN list_contains(ks, k) OR list_contains(cs, c) THEN ks ELSE list_append(ks, k) END, CASE WHEN list_contains(ks, k) OR list_contains(cs, c) THEN cs ELSE list_append(cs, c) END,
 CASE WHEN list_contains(ks, k) OR list_contains(cs, c) THEN NULL ELSE i.ord END FROM r JOIN i ON i.i = r.i + 1) SELECT ord FROM r WHERE ord IS NOT NULL""")
