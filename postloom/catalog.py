@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postloom.plans import page_queries  # noqa: F401  (adds its queries)
+from postloom.plans import export_queries, page_queries  # noqa: F401  (add their queries)
 from postloom.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

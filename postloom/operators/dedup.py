@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.time import iso_and_epoch
 from postloom.functions.urls import SITE, classify_source
+from postloom.shared import checkpointed
 
 
 def _text(x: Column) -> Column:
@@ -52,16 +51,6 @@ def dedup_posts(posts: DataFrame, within: list[str] | None = None) -> DataFrame:
     return first_of(posts.withColumn("__key", dedup_key()), [*(within or []), "__key"], ["ord"]).drop("__key")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def dedup_across_sources(posts: DataFrame, source: str = "source", order: tuple[str, ...] = ("source", "ord")) -> DataFrame:
     """Within each source by key, then in order over all: a post goes if a post that stays before it has its key or content.
 
@@ -71,14 +60,14 @@ def dedup_across_sources(posts: DataFrame, source: str = "source", order: tuple[
     """
     inside = dedup_posts(posts, [source])
     rank = F.struct(*order)
-    todo = _checkpointed(inside.select("*", dedup_key().alias("__k"), content_fingerprint().alias("__c"), rank.alias("__at")))
+    todo = checkpointed(inside.select("*", dedup_key().alias("__k"), content_fingerprint().alias("__c"), rank.alias("__at")))
     whole, kept = todo, None
     left = todo.select("__k", "__c", "__at")
     while not left.isEmpty():
-        first_k, first_c = _checkpointed(left.groupBy("__k").agg(F.min("__at").alias("__fk"))), _checkpointed(left.groupBy("__c").agg(F.min("__at").alias("__fc")))
-        stays = _checkpointed(left.join(first_k, "__k").join(first_c, "__c").where("__at = __fk and __at = __fc").select("__k", "__c", "__at"))
+        first_k, first_c = checkpointed(left.groupBy("__k").agg(F.min("__at").alias("__fk"))), checkpointed(left.groupBy("__c").agg(F.min("__at").alias("__fc")))
+        stays = checkpointed(left.join(first_k, "__k").join(first_c, "__c").where("__at = __fk and __at = __fc").select("__k", "__c", "__at"))
         kept = stays if kept is None else kept.union(stays)
-        left = _checkpointed(left.join(stays.select("__k"), "__k", "left_anti").join(stays.select("__c"), "__c", "left_anti"))
+        left = checkpointed(left.join(stays.select("__k"), "__k", "left_anti").join(stays.select("__c"), "__c", "left_anti"))
     if kept is None:
         return inside
     return whole.join(kept.select("__at"), "__at", "left_semi").drop("__k", "__c", "__at")

@@ -425,11 +425,11 @@ def j1_posts_with_engagement(spark, sf):
     return joins.with_engagement(p, e.where("id % 3 > 0")).select("id", "job_id", "likes", "shares")
 
 
-@query(f"{S('posts')}, m AS (SELECT id, count(*) AS n FROM (SELECT id FROM posts_v WHERE media_url IS NOT NULL UNION ALL SELECT id FROM posts_v WHERE video_url IS NOT NULL) GROUP BY id) SELECT p.id, coalesce(n, 0)::BIGINT AS n FROM posts_v p LEFT JOIN m USING (id)")
+@query(f"{S('posts')} SELECT id, concat_ws('|', media_url, video_url) AS urls, concat_ws('|', CASE WHEN media_url IS NOT NULL THEN media_type END, CASE WHEN video_url IS NOT NULL THEN media_type END) AS kinds FROM posts_v")
 def j2_posts_with_media(spark, sf):
     (p,) = v(spark, sf, "posts")
     row = lambda k, url: p.where(f"{url} is not null").select(F.col("id").alias("post_ref"), F.lit(k).alias("ord"), "media_type", F.col(url).alias("url"), "thumbnail_url", "video_url")
-    return joins.with_media(p, row(0, "media_url").union(row(1, "video_url"))).select("id", F.size("media").cast("long").alias("n"))
+    return joins.with_media(p, row(0, "media_url").union(row(1, "video_url"))).select("id", text.joined(F.col("media.url")).alias("urls"), F.concat_ws("|", "media.media_type").alias("kinds"))
 
 
 @query(f"{S('posts', 'engagement')} SELECT job_id, coalesce(sum(likes), 0)::BIGINT AS likes, count(*) AS n FROM engagement_v JOIN posts_v USING (id) GROUP BY job_id")
@@ -475,12 +475,11 @@ def j7_plan_limits(spark, sf):
     return joins.with_limits(views.view(spark, sf, "users")).select("id", "plan", "max_urls", "max_posts", "concurrent_jobs")
 
 
-@query(f"{S('jobs', 'posts', 'engagement')} SELECT (SELECT count(*) FROM jobs_v WHERE id % 5 <> 0) AS jobs, (SELECT count(*) FROM posts_v WHERE job_id % 5 <> 0) AS posts, (SELECT count(*) FROM engagement_v e WHERE e.id NOT IN (SELECT id FROM posts_v WHERE job_id % 5 = 0)) AS engagement")
+@query(f"{S('jobs', 'posts', 'engagement')} SELECT 'jobs' AS target, id FROM jobs_v WHERE id % 5 <> 0 UNION ALL SELECT 'posts', id FROM posts_v WHERE job_id % 5 <> 0 UNION ALL SELECT 'engagement', id FROM engagement_v e WHERE e.id NOT IN (SELECT id FROM posts_v WHERE job_id % 5 = 0)")
 def j8_cascading_delete(spark, sf):
     j, p, e = v(spark, sf, "jobs", "posts", "engagement")
     left = joins.without_job({"jobs": j, "posts": p, "engagement": e}, j.where("id % 5 = 0").select(F.col("id").alias("job_id")))
-    n = [x.agg(F.count(F.lit(1)).alias(k)) for k, x in left.items()]
-    return n[0].crossJoin(n[1]).crossJoin(n[2]).select("jobs", "posts", "engagement")  # three single rows
+    return dedup.union_all([x.select(F.lit(k).alias("target"), F.col("id").cast("long").alias("id")) for k, x in left.items()])
 
 
 _DOM_ROWS = "SELECT conv_id AS page_key, turn AS ord, CASE WHEN turn % 2 = 0 THEN CAST(turn + 1 AS STRING) END AS post_id, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 1 THEN concat('  ', first) ELSE text END AS text FROM (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS first FROM {})"
@@ -544,15 +543,15 @@ def a10_seen_in_rounds(spark, sf):
     return metrics.seen_in_rounds(e)
 
 
-@query("SELECT doc_id, (count(*) - count(DISTINCT lower(l)))::BIGINT AS duplicates FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l FROM documents) WHERE l <> '' GROUP BY doc_id")
+@query("SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END AS duplicates FROM documents d LEFT JOIN (SELECT doc_id, (count(*) - count(DISTINCT lower(l)))::BIGINT AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l FROM documents) WHERE l <> '' GROUP BY doc_id) USING (doc_id)")
 def a11_duplicate_lines(spark, sf):
-    return metrics.duplicate_lines(readers.table(spark, sf, "documents").where("trim(text) <> ''"), "doc_id", "text")
+    return metrics.duplicate_lines(readers.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query(f"{S('requests')} SELECT {_ISO.format('time_bucket(INTERVAL 5 MINUTE, ts)')} AS start, regexp_replace(path, '/[0-9]+', '/{{id}}', 'g') AS family, count(*) / 300.0::DOUBLE AS rate, (count(*) FILTER (failed) / 300.0::DOUBLE) / greatest(count(*) / 300.0::DOUBLE, 1e-6) AS failure_share FROM requests_v GROUP BY ALL")
+@query(f"{S('requests')} SELECT {_ISO.format('time_bucket(INTERVAL 5 MINUTE, ts)')} AS start, regexp_replace(path, '/[0-9]+', '/{{id}}', 'g') AS family, count(*) / 300.0::DOUBLE AS rate, (count(*) FILTER (failed) / 300.0::DOUBLE) / greatest(count(*) / 300.0::DOUBLE, 1e-6) AS failure_share, quantile_disc(value, 0.95) AS p95 FROM requests_v GROUP BY ALL")
 def a12_request_rates(spark, sf):
     out = metrics.request_rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp")))
-    return out.select(time.iso(F.col("start")).alias("start"), "family", "rate", "failure_share")
+    return out.select(time.iso(F.col("start")).alias("start"), "family", "rate", "failure_share", "p95")
 
 
 @query(f"{S('jobs')} SELECT {_ISO.format("date_trunc('day', created_at)")} AS start, status, count(*) / 86400.0::DOUBLE AS rate FROM jobs_v WHERE status IN ('completed', 'failed') GROUP BY ALL")
@@ -792,10 +791,17 @@ def p3_posts_from_store(spark, sf):
 _ANY = "coalesce(media_type, '') || coalesce(media_url, '') || coalesce(thumbnail_url, '') || coalesce(video_url, '') <> ''"
 
 
-@query(f"{S('posts', 'engagement')} SELECT 'posts' AS target, count(*) AS n FROM posts_v UNION ALL SELECT 'engagement', count(*) FROM engagement_v WHERE likes IS NOT NULL OR reactions IS NOT NULL UNION ALL SELECT 'media', count(*) FROM posts_v WHERE {_ANY}")
+@query(f"""{S('posts', 'engagement')} SELECT 'posts' AS target, id, coalesce(post_id, '') || CASE WHEN has_link THEN '|https://a.example||x|y' ELSE '' END AS said FROM posts_v
+UNION ALL SELECT 'engagement', id, concat_ws('|', likes, reactions) FROM engagement_v WHERE likes IS NOT NULL OR reactions IS NOT NULL UNION ALL SELECT 'media', id, concat_ws('|', media_type, media_url, thumbnail_url, video_url) FROM posts_v WHERE {_ANY}""")
 def s11_store_rows(spark, sf):
-    made = zip(("posts", "engagement", "media"), export.store_rows(_stored(spark, sf).withColumn("dedup_key", dedup.storage_key())))
-    return dedup.union_all([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("target"), "n") for name, df in made])
+    """The rows that go to each of the three tables, with what is in them."""
+    posts, metrics_rows, media = export.store_rows(_stored(spark, sf).withColumn("dedup_key", dedup.storage_key()))
+    said = (
+        posts.select(F.lit("posts").alias("target"), "id", F.concat_ws("|", F.coalesce("post_id", F.lit("")), F.when(F.col("external_links").isNotNull(), text.joined(F.col("external_links")))).alias("said")),
+        metrics_rows.select(F.lit("engagement").alias("target"), "id", F.concat_ws("|", F.col("likes").cast("string"), F.col("reactions").cast("string")).alias("said")),
+        media.select(F.lit("media").alias("target"), F.col("post_ref").alias("id"), F.concat_ws("|", "media_type", "url", "thumbnail_url", "video_url").alias("said")),
+    )
+    return dedup.union_all(list(said))
 
 
 @query("SELECT user_id AS job_id, event_id AS source_id, CASE WHEN event_id % 2 = 0 THEN 'https://e.example/' || event_id ELSE 'https://s.example' END AS source_url, CASE WHEN event_id % 3 = 0 THEN 'timeout' ELSE 'scrape_error' END AS code, event_type AS message FROM events")
@@ -815,10 +821,10 @@ def t4_latest_counters(spark, sf):
     return newest.groupBy("job_id").agg(F.count(F.lit(1)).alias("sources"), *[F.sum(c).alias(c) for c in streams.COUNTERS])
 
 
-@query("""WITH w AS (SELECT unnest(list_transform(range(0, 5), lambda i: time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i))) AS start, event_type FROM events) SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) / 300.0::DOUBLE AS rate, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS failure_share FROM w GROUP BY ALL""")
+@query("""WITH w AS (SELECT unnest(list_transform(range(0, 5), lambda i: time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i))) AS start, event_type, value FROM events) SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) / 300.0::DOUBLE AS rate, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS failure_share, quantile_disc(value, 0.95) AS p95 FROM w GROUP BY ALL""")
 def t5_sliding_rates(spark, sf):
     out = streams.rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp")))
-    return out.select(time.iso(F.col("start")).alias("start"), "rate", "failure_share")
+    return out.select(time.iso(F.col("start")).alias("start"), "rate", "failure_share", "p95")
 
 
 @query("""WITH w AS (SELECT unnest(list_transform(range(0, 5), lambda i: time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i))) AS start, event_type FROM events),
@@ -827,3 +833,41 @@ SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start FROM r WHERE (SELECT count
 def t5_alerts(spark, sf):
     out = streams.alerts(streams.rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp"))))
     return out.select(time.iso(F.col("start")).alias("start"))
+
+
+def _visits(spark, sf):
+    return readers.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def _windows(seconds: int) -> str:
+    """Each visit n of a user with the time its window was opened."""
+    return f"""WITH RECURSIVE v AS MATERIALIZED (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, ts, ts AS opened, true AS first FROM v WHERE n = 1 UNION ALL
+SELECT v.user_id, v.event_id, v.n, v.ts, CASE WHEN v.ts - r.opened >= to_seconds({seconds}) THEN v.ts ELSE r.opened END, v.ts - r.opened >= to_seconds({seconds}) FROM r JOIN v ON v.user_id = r.user_id AND v.n = r.n + 1)"""
+
+
+@query(f"{_windows(86_400)} SELECT event_id AS seq, strftime(opened, '%Y-%m-%d %H:%M:%S.%f') AS served_from, first FROM r")
+def t1_served_visits(spark, sf):
+    out = streams.served(_visits(spark, sf), 86_400)
+    return out.select("seq", F.date_format("served_from", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("served_from"), "first")
+
+
+@query(f"{_windows(21_600)} SELECT event_id AS seq FROM r WHERE first")
+def t2_once_per_window(spark, sf):
+    return streams.once_per_window(_visits(spark, sf), 21_600).select("seq")
+
+
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, ts AS last, event_type AS shown, true AS let FROM v WHERE n = 1 UNION ALL
+SELECT v.user_id, v.event_id, v.n, CASE WHEN event_type <> shown AND ts - last >= INTERVAL 8 HOUR THEN ts ELSE last END, CASE WHEN event_type <> shown AND ts - last >= INTERVAL 8 HOUR THEN event_type ELSE shown END, event_type <> shown AND ts - last >= INTERVAL 8 HOUR
+FROM r JOIN v ON v.user_id = r.user_id AND v.n = r.n + 1) SELECT event_id AS seq FROM r WHERE let""")
+def t3_throttled_progress(spark, sf):
+    e = views.view(spark, sf, "requests").select("job_id", F.col("ts").cast("timestamp").alias("ts"), "counters", "seq")
+    return streams.throttled(e, 8 * 3600).select("seq")
+
+
+@query(f"""{S('rounds')}, g AS (SELECT *, sum(items) OVER w AS total, sum((items > 0)::INT) OVER w AS grp FROM rounds_v WINDOW w AS (PARTITION BY source ORDER BY round)),
+t AS (SELECT *, sum((items = 0)::INT) OVER (PARTITION BY source, grp ORDER BY round) AS streak FROM g), s AS (SELECT *, CASE WHEN streak >= 3 THEN 'stale' WHEN total >= 12 THEN 'item_cap' END AS reason FROM t)
+SELECT source, round, (least(total, 12) - least(total - items, 12))::BIGINT AS taken, reason AS stop_reason FROM (SELECT *, count(reason) OVER (PARTITION BY source ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s) WHERE before = 0""")
+def t7_capped_rounds(spark, sf):
+    return streams.capped(views.view(spark, sf, "rounds").select("source", "round", "items"), 12)

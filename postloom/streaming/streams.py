@@ -1,90 +1,139 @@
-"""Streaming versions of the request, progress and ingestion rules. Each takes and gives streaming frames, or batches.
+"""Streaming versions of the request, progress and ingestion rules. Each takes and gives streaming frames, or tables.
 
 Late data is this library's own policy: a watermark of ten minutes; later rows are dropped, and counted by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.shared import remove
+
 LATE = "10 minutes"
 
 
-def once_per_window(requests: DataFrame, seconds: int = 300) -> DataFrame:
-    """The first request of each key; repeats within the time are dropped. requests: key, ts."""
-    return requests.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["key"])
+#: A rule takes what is held of a key, or None, and some of its rows in order; it gives what is held next, and rows.
+Rule = Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]
 
 
-def served(visits: DataFrame, ttl: int) -> DataFrame:
-    """Visits (key, ts) with served_from: the time of the visit that opened the key's window.
+def _micros(ts: pd.Series) -> list[int]:
+    return [int(x.value // 1000) for x in ts]
 
-    A window lasts `ttl` seconds from its first visit and does not slide. State is one time for each key, which leaves when
-    the watermark passes its window.
+
+def _visits(ttl: float) -> Rule:
+    def rule(held: tuple | None, b: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        opened, since, first = held[0] if held else None, [], []
+        for now in _micros(b["ts"]):
+            first.append(opened is None or now - opened >= ttl * 1_000_000)
+            opened = now if first[-1] else opened
+            since.append(pd.Timestamp(opened, unit="us"))
+        return (opened,), b.assign(served_from=since, first=first)
+
+    return rule
+
+
+def _changes(seconds: float) -> Rule:
+    def rule(held: tuple | None, b: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        last, shown = held or (None, None)
+        keep = []
+        for i, (now, counters) in enumerate(zip(_micros(b["ts"]), b["counters"])):
+            if last is None or counters != shown and now - last >= seconds * 1_000_000:
+                last, shown = now, counters
+                keep.append(i)
+        return (last, shown), b.iloc[keep]
+
+    return rule
+
+
+def _takes(most: int, stale_rounds: int) -> Rule:
+    def rule(held: tuple | None, b: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        total, stale, done = held or (0, 0, False)
+        out = []
+        for n in b["items"]:
+            if done:
+                break
+            take = min(int(n), most - total)
+            total, stale = total + take, 0 if n else stale + 1
+            reason = "stale" if stale >= stale_rounds else "item_cap" if total >= most else None
+            done = reason is not None
+            out.append((take, reason))
+        taken = pd.DataFrame(out, columns=["taken", "stop_reason"], index=b.index[: len(out)])
+        return (total, stale, done), b.iloc[: len(out)].assign(**taken)
+
+    return rule
+
+
+def _by_key(df: DataFrame, key: str, order: list[str], rule: Rule, made: str, state: str, timeout: Callable[[tuple], int] | None = None) -> DataFrame:
+    """The rows that a rule gives for each key's rows in order: of a stream, batch by batch, with state; of a table, in one go.
+
+    A table is sorted inside its partitions, and a task holds the state of one key and one batch of rows, however many rows a
+    key has. A null key is a key. Rows of a stream are in order within a batch; what comes later is taken as it comes. The
+    rows keep their columns; `made` are the rule's own.
     """
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened = state.get[0] if state.exists else None
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    schema = f"{kept}, {made}" if made else kept
+    names = [*df.columns, *[x.split()[0] for x in made.split(", ") if x]]
+
+    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
         for b in batches:
-            b = b.sort_values("ts")
             out = []
-            for ts in b["ts"]:
-                now = int(ts.value // 1000)
-                if opened is None or now - opened >= ttl * 1_000_000:
-                    opened = now
-                out.append(pd.Timestamp(opened, unit="us"))
-            yield pd.DataFrame({"key": key[0], "ts": b["ts"].to_numpy(), "served_from": out})
-        if opened is not None:
-            state.update((opened,))
-            state.setTimeoutTimestamp(max(opened // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
+            for value, part in b.groupby(key, sort=False, dropna=False):
+                if not (value == last or pd.isna(value) and pd.isna(last)):
+                    held = None
+                last, (held, rows) = value, rule(held, part)
+                out.append(rows[names])
+            if out:
+                yield pd.concat(out)
+
+    def stream(_: tuple, batches: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        held, out = rule(group.get if group.exists else None, rows)
+        group.update(held)
+        if timeout:
+            group.setTimeoutTimestamp(max(timeout(held), group.getCurrentWatermarkMs() + 1))
+        yield out[names]
 
-    return visits.withWatermark("ts", LATE).groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, served_from timestamp", "opened long", "append", "EventTimeTimeout")
+    if not df.isStreaming:
+        return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(table, schema)
+    return df.groupBy(key).applyInPandasWithState(stream, schema, state, "append", "EventTimeTimeout" if timeout else "NoTimeout")
 
 
-def throttled(progress: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """Progress rows (job_id, ts, counters) that differ from the last row let through, and come a second after it at least.
+def served(visits: DataFrame, ttl: float) -> DataFrame:
+    """Visits (key, ts, ...) with served_from, the time of the visit that opened the key's window, and first, if it did so.
 
-    The first row of a job always goes through.
+    A window lasts `ttl` seconds from its first visit and does not slide. State is one time for each key, which leaves when
+    the watermark passes its window.
     """
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, shown = state.get if state.exists else (None, None)
-        for b in batches:
-            keep = []
-            for i, (ts, counters) in enumerate(zip((b := b.sort_values("ts"))["ts"], b["counters"])):
-                now = int(ts.value // 1000)
-                if last is None or counters != shown and now - last >= seconds * 1_000_000:
-                    last, shown = now, counters
-                    keep.append(i)
-            yield b.iloc[keep][["job_id", "ts", "counters"]]
-        if last is not None:
-            state.update((last, shown))
+    late = visits.withWatermark("ts", LATE) if visits.isStreaming else visits
+    return _by_key(late, "key", ["ts"], _visits(ttl), "served_from timestamp, first boolean", "opened long", lambda held: held[0] // 1000 + int(ttl * 1000))
 
-    return progress.groupBy("job_id").applyInPandasWithState(run, "job_id long, ts timestamp, counters string", "last long, shown string", "append", "NoTimeout")
+
+def once_per_window(requests: DataFrame, seconds: float = 300) -> DataFrame:
+    """Of each key's requests (key, ts, ...) the first, and the first that comes so many seconds after the last one let through."""
+    return served(requests, seconds).where("first").drop("served_from", "first")
+
+
+def throttled(progress: DataFrame, seconds: float = 1.0) -> DataFrame:
+    """Progress rows (job_id, ts, counters, ...) that differ from the last row let through, and come a second after it at least.
+
+    The first row of a job always goes through. State is the last row of each job, for as long as the stream runs: a job may
+    be silent for any time, and what it says then has to be compared.
+    """
+    return _by_key(progress, "job_id", ["ts"], _changes(seconds), "", "last long, shown string")
 
 
 def capped(items: DataFrame, most: int, stale_rounds: int = 3) -> DataFrame:
     """Of each source's rounds (source, round, items), those that go on: until the cap, or so many rounds without an item."""
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        total, stale, done = state.get if state.exists else (0, 0, False)
-        for b in batches:
-            out = []
-            for r, n in zip((b := b.sort_values("round"))["round"], b["items"]):
-                if done:
-                    break
-                take = min(int(n), most - total)
-                total, stale = total + take, 0 if n else stale + 1
-                reason = "stale" if stale >= stale_rounds else "item_cap" if total >= most else None
-                done = reason is not None
-                out.append((key[0], int(r), take, reason))
-            yield pd.DataFrame(out, columns=["source", "round", "taken", "stop_reason"])
-        state.update((total, stale, done))
-
-    return items.groupBy("source").applyInPandasWithState(run, "source string, round long, taken long, stop_reason string", "total long, stale long, done boolean", "append", "NoTimeout")
+    out = _by_key(items, "source", ["round"], _takes(most, stale_rounds), "taken long, stop_reason string", "total long, stale long, done boolean")
+    return out.select("source", "round", "taken", "stop_reason")
 
 
 def rates(events: DataFrame) -> DataFrame:
@@ -116,12 +165,14 @@ def latest_counters(progress: DataFrame, known: DataFrame | None = None) -> Data
 def live_jobs(progress: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):
     """T4: keeps a table of the newest counters by source while a stream runs; a job's figures are sums over it.
 
-    Each batch writes the next version of the table beside the last, so a batch that is run again gives the same table.
+    Each batch writes the next version of the table beside the last, so a batch that is run again gives the same table. Older
+    versions than the last but one go.
     """
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = spark.read.parquet(f"{table}/v{number - 1}") if number else None
         latest_counters(batch, known).write.mode("overwrite").parquet(f"{table}/v{number}")
+        remove(spark, f"{table}/v{number - 2}")
 
     return progress.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -69,3 +69,21 @@ def test_live_jobs_and_ingest(spark, tmp_path):
         spark.createDataFrame(rows, schema2).coalesce(1).write.mode("append").parquet(src2)
         streams.ingest(spark.readStream.schema(schema2).option("maxFilesPerTrigger", 1).parquet(src2), store, str(tmp_path / "c2")).awaitTermination()
     assert sorted(r.ord for r in spark.read.parquet(store).collect()) == [1, 3, 5]
+
+
+def test_rules_on_a_table_are_held_across_batches_and_reset_at_keys(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rows = [(key, at(10 * k)) for key in ("a", None, "b") for k in range(7)]
+        got = streams.served(spark.createDataFrame(rows, "key string, ts timestamp"), 25).collect()
+        for key in ("a", None, "b"):
+            mine = sorted((r.ts, r.served_from, r.first) for r in got if r.key == key)
+            assert mine == [(at(10 * k), at(30 * (k // 3)), k % 3 == 0) for k in range(7)]
+        rounds = [("s", k, 3) for k in range(9)] + [("t", k, 0) for k in range(5)] + [("u", 0, 50)]
+        cut = streams.capped(spark.createDataFrame(rounds, "source string, round long, items long"), 10).collect()
+        assert sorted((r.source, r.round, r.taken, r.stop_reason or "") for r in cut) == [
+            ("s", 0, 3, ""), ("s", 1, 3, ""), ("s", 2, 3, ""), ("s", 3, 1, "item_cap"), ("t", 0, 0, ""), ("t", 1, 0, ""), ("t", 2, 0, "stale"), ("u", 0, 10, "item_cap"),
+        ]
+        assert streams.throttled(spark.createDataFrame([], "job_id long, ts timestamp, counters string")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
