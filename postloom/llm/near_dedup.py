@@ -247,12 +247,11 @@ def _links(threshold: int):
     return run
 
 
-def in_blocks(t: Tables, large: DataFrame) -> DataFrame:
-    """large (node, cls, c) as units of two blocks each: all pairs of different components of a node are in one.
+def in_blocks(t: Tables, large: DataFrame, half: int = BLOCK // 2) -> DataFrame:
+    """large (node, cls, c) as units of two blocks of `half` each: all pairs of different components of a node are in one.
 
     The classes of a node's largest component have no pairs to look for among them, so they meet only the others.
     """
-    half = BLOCK // 2
     counts = large.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("node").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     blocks = lambda n: F.ceil(n / half).cast("int")
@@ -387,8 +386,9 @@ def deduplicate(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     t = Tables(docs.sparkSession)
     found = groups(docs, words, threshold).where("n_shingles > 0").groupBy(F.col("row_key").alias("__key")).agg(F.bool_or("first").alias("__first"), F.count(F.lit(1)).alias("__n"))
     told = t.write("told", found.where("not __first or __n > 1").select("__key", "__first"))
-    rows = docs.withColumn("__key", row_key()).join(told, "__key", "left")
-    return rows.where("__first is null").select(*docs.columns).union(rows.where("__first").dropDuplicates(["__key"]).select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), row_key().alias("__key")).join(told, "__key", "left")  # the columns' names stay among themselves
+    kept = rows.where("__first is null").select("__row").union(rows.where("__first").dropDuplicates(["__key"]).select("__row"))
+    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ Verification is exact too. Classes of a small node (those that share an index ke
 that only one of two sets has are tokens that only it has, so that a pair with too many of them is no link. What hangs together
 by pairs that are left is compared on full sets, which are made once: all at once where it is at most BLOCK classes; in larger,
 dense groups the blocks around each node's central class come first, and what these join is not compared again. Large nodes
-are compared by blocks as far as their classes are still of different components.
+of one central class are one node from then on, so that two classes meet there once, however many keys they share; it is compared
+by blocks as far as its classes are still of different components.
 
 Defined results: documents without words (null, empty, blank) have no shingles and are linked with nothing. Each row stands for
 itself: rows with one id and different texts are linked by their texts. Rows without an id are linked too; the least id of a
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import Tables, mix, table
-from postloom.llm.near_dedup import BLOCK, LEAF, _root, _sets, around_leaders, by_unit, class_of, components, in_blocks, labelled, row_key, shingles
+from postloom.llm.near_dedup import BLOCK, LEAF, _root, _sets, by_unit, class_of, components, in_blocks, labelled, row_key, shingles
 from postloom.llm.near_dedup import _links as links_of
 from postloom.llm.near_dedup import _SHINGLES
 
@@ -42,8 +43,10 @@ THRESHOLD = 80  # per cent
 SHORT = 200
 #: Tokens that are told apart by how frequent they are, at most, and documents' prefixes that a token needs for it, at least.
 FREQUENT, LEAST = 500_000, 8
-#: Bits of a set's bitmap.
-BITS = 2048
+#: Classes of a large node that are compared at once, by their bitmaps.
+LARGE = 512
+#: Bits of a set's bitmap: the power of two from four for each token on, within these bounds.
+LEAST_BITS, MOST_BITS = 512, 1 << 17
 _U = np.uint64
 
 
@@ -53,11 +56,17 @@ def overlap(n: int, threshold: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(mix(s) & _U(BITS - 1)).astype(np.int64)] = 1
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(s) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(s) & _U(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _folded(blobs: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps, as rows of 64-bit numbers, as if they had been made with so many bytes."""
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, "<u8").reshape(-1, size // 8)) for b in blobs])
+
+
 def _rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,39 +159,50 @@ def _index(words: int, threshold: int, frequent, short: int):
 def _possible(threshold: int):
     """What hangs together, within a unit, by pairs of different components that bitmaps and sizes do not rule out."""
 
+    def pairs(n: np.ndarray, c: np.ndarray, blobs: list[bytes]) -> Iterator[tuple[int, int]]:
+        size = np.array([len(b) for b in blobs])
+        for width in np.unique(size).tolist():  # sets at the threshold have bitmaps of one width, or of one and its double
+            at = np.concatenate([np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)])
+            bits = _folded([blobs[k] for k in at], width)
+            ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+            for i in range(int((size == width).sum())):
+                n_i, n_j = n[at[i]], n[at[i + 1 :]]
+                some = np.flatnonzero((c[at[i + 1 :]] != c[at[i]]) & (100 * np.minimum(n_i, n_j) >= threshold * np.maximum(n_i, n_j)))
+                j = i + 1 + some
+                both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+                most = np.minimum(n_i - (ones[i] - both), n[at[j]] - (ones[j] - both))  # of what they share
+                for k in j[100 * most >= threshold * (n_i + n[at[j]] - most)].tolist():
+                    yield int(at[i]), int(at[k])
+
     def run(rows: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
         cls, c, n = (rows[x].to_numpy(np.int64) for x in ("cls", "c", "n"))
-        raw = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
-        ones, words = np.bitwise_count(raw).sum(1, dtype=np.int64), raw.view("<u8")
-        out: list[np.ndarray] = []
-
-        def near(i: np.ndarray, j: np.ndarray, both: np.ndarray) -> np.ndarray:
-            most = np.minimum(n[i] - (ones[i] - both), n[j] - (ones[j] - both))  # of what they share
-            return (c[i] != c[j]) & (100 * most >= threshold * (n[i] + n[j] - most))
-
-        size = np.diff(begins)
-        pairs = begins[:-1][size == 2]
-        pairs = pairs[near(pairs, pairs + 1, np.bitwise_count(words[pairs] & words[pairs + 1]).sum(1, dtype=np.int64))]
-        parts = [np.array([a, a + 1]) for a in pairs.tolist()]
-        for a, m in zip(begins[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            dense = np.unpackbits(raw[a : a + m], axis=1).astype(np.float32)
-            i, j = np.triu_indices(m, 1)
-            some = near(a + i, a + j, (dense @ dense.T)[i, j].astype(np.int64))
-            group = np.arange(m)
-            for x, y in zip(i[some].tolist(), j[some].tolist()):
+        blobs, step, out, parts = rows["bits"].tolist(), rows["step"].to_numpy(np.int64), [], []
+        for a, z in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            group = np.arange(z - a)
+            for x, y in pairs(n[a:z], c[a:z], blobs[a:z]) if z - a > 1 else ():
                 x, y = _root(group, x), _root(group, y)
                 group[max(x, y)] = min(x, y)
-            roots = np.array([_root(group, k) for k in range(m)])
-            parts += [a + np.flatnonzero(roots == r) for r in np.flatnonzero(np.bincount(roots, minlength=m) > 1)]
+            roots = np.array([_root(group, k) for k in range(z - a)])
+            parts += [a + np.flatnonzero(roots == r) for r in np.flatnonzero(np.bincount(roots, minlength=z - a) > 1)]
         for at in parts:
             mine = cls[at]
             unit = mix(mix(mine.astype(_U)).sum(dtype=_U).reshape(1)).astype(np.int64)[0]
-            out.append(np.stack([np.full(len(at), unit), np.full(len(at), mine.min()), mine, rows["step"].to_numpy(np.int64)[at]], 1))
+            out.append(np.stack([np.full(len(at), unit), np.full(len(at), mine.min()), mine, step[at]], 1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 4), np.int64), columns=["unit", "head", "cls", "step"])
 
     return run
 
 
+def around_central(t: Tables, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of large nodes (node, cls, n) with their nodes' central class, the one that shares most; and blocks of both."""
+    central = large.groupBy("cls").agg(F.sum("n").alias("shared"))
+    leaders = large.join(central, "cls").groupBy("node").agg(F.max_by("cls", F.struct("shared", "cls")).alias("leader"))
+    led = t.write("led", large.join(t.write("leaders", leaders), "node").select("cls", "leader").distinct())
+    counts = t.write("led_counts", led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (BLOCK - 1)).alias("k")))
+    rows = led.where("cls <> leader").join(counts, "leader").select("cls", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("cls"), "k")).alias("unit"))
+    return led, rows.select("unit", "cls").union(rows.select("unit", "leader").distinct())
+
+
 def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, short: int = SHORT, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least id that can be reached by links, its own included."""
     spark = docs.sparkSession
@@ -209,11 +229,12 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, short:
     # pairs that may be links: each set of classes is looked at once, however many keys it shares
     sets_of = small.groupBy("node").agg(F.sort_array(F.collect_set("cls")).alias("of")).select("of").distinct()
     units = sets_of.select(F.xxhash64("of").alias("unit"), F.explode("of").alias("cls"), F.lit(1).cast("long").alias("step"))
-    units = units.union(around_leaders(t, large).select("unit", "cls", F.lit(0).cast("long")))
+    led, central = around_central(t, large)
+    units = units.union(central.select("unit", "cls", F.lit(0).cast("long")))
     schema = "unit long, head long, cls long, step long"
     possible = by_unit(units.join(bits, "cls").withColumn("c", F.col("cls")), _possible(threshold), schema)
     possible = t.write("possible", possible.groupBy("unit", "head", "cls").agg(F.min("step").alias("step")))
-    t.drop("leaders", "led", "led_counts")
+    t.drop("leaders", "led_counts")
     together = components(t, possible.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")), "together")
     dense = t.write("dense", together.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("c"))
     whole = together.join(dense, "c", "left_anti").select(F.col("c").alias("unit"), F.col("v").alias("cls"))
@@ -222,7 +243,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, short:
     t.drop("possible")
 
     # the full set of each class that is compared
-    needed = together.select(F.col("v").alias("cls")).union(large.select("cls")).distinct()
+    needed = together.select(F.col("v").alias("cls")).union(led.select("cls")).distinct()
     needed = t.write("needed", needed.join(classes.select("cls", "key"), "cls"))
     sets = t.write("sets", docs.select("key", "text").join(needed.hint("merge"), "key").mapInArrow(_sets(words), "cls long, tokens binary"))
     if sets.select("cls").distinct().count() != needed.count():
@@ -237,12 +258,12 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, short:
     apart = labelled(parts.where("step = 1"), joined, "cls", "c")
     open_ = t.write("open", apart.groupBy("unit").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("unit"))
     apart = apart.join(open_, "unit").select("unit", "cls", "c")
-    if not large.isEmpty():
-        cells = in_blocks(t, t.write("labelled", labelled(large.select("node", "cls"), joined, "cls", "c"))).distinct()
+    if not led.isEmpty():
+        cells = in_blocks(t, t.write("labelled", labelled(led.select(F.col("leader").alias("node"), "cls"), joined, "cls", "c")), LARGE // 2)
         cells = by_unit(cells.join(bits, "cls").withColumn("step", F.lit(0).cast("long")), _possible(threshold), schema)
         apart = apart.union(labelled(cells.select("unit", "cls").distinct(), joined, "cls", "c").select("unit", "cls", "c"))
     last = components(t, t.write("last_links", confirmed(apart)), "last")
-    t.drop("parts", "nodes", "sets_once", "dense", "dense_classes", "links", "open")
+    t.drop("parts", "nodes", "led", "sets_once", "dense", "dense_classes", "links", "open")
 
     of = labelled(labelled(classes.select("cls", "doc_id"), joined, "cls", "c1"), last, "c1", "c")
     least = t.write("least", of.groupBy("c").agg(F.min("doc_id").alias("component_id")))
