@@ -63,10 +63,11 @@ class WordIds:
         texts = pc.fill_null(texts, "")
         for c in "\n\t\r":
             texts = pc.replace_substring(texts, c, " ")
-        # Letters and the marks after them are split anyway, and case is dropped: fewer distinct words. Only the case of a
-        # letter before a combining mark may matter to the tokenizer's normal form.
-        if not pc.any(pc.match_substring_regex(texts, "\\p{M}")).as_py():
-            texts = pc.ascii_lower(texts)
+        # Letters and the marks after them are split anyway, and case is dropped: fewer distinct words. A text keeps its case
+        # where case may matter: before a combining mark, to the tokenizer's normal form, and in what looks like a special
+        # token, which is one in lower case only. Each text by itself: its neighbours never change its ids.
+        as_it_is = pc.match_substring_regex(texts, "\\p{M}|<\\|")
+        texts = pc.if_else(as_it_is, texts, pc.ascii_lower(texts))
         texts = pc.replace_substring_regex(texts, "([A-Za-z])([,.;:!?]+)", "\\1 \\2")
         words, code, begins = word_codes(texts)
         if not len(code):
@@ -167,9 +168,9 @@ def pieces(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, wit
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of the documents with sequence_id (gapless from 0) and offset, in as few sequences as minimum bin slack finds."""
-    rows = cut(pieces(docs, name, capacity))
+    rows = cut(pieces(docs, name, capacity, with_ids))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     where = places(plan(histogram, capacity))
 
@@ -185,13 +186,14 @@ def pack(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY) -> Da
             yield b.drop(columns="__rank").assign(sequence_id=sequence, offset=offset)
 
     order = ["doc_id", "piece", "ids_crc32"]
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked(rows, "length", order, "__rank").select(*columns, "__rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    return ranked(rows, "length", order, "__rank").select(*columns, "__rank").mapInPandas(place, f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (at most `capacity`), doc_ids in their order."""
-    rows = pack(docs, name, capacity).join(pieces(docs, name, capacity, with_ids=True).select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
+    rows = pack(docs, name, capacity, with_ids=True)
     parts = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id"))).alias("parts"))  # at most `capacity` rows a sequence
     return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.col("parts.doc_id").alias("doc_ids"))
 

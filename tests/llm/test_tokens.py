@@ -62,6 +62,47 @@ def test_word_ids_are_the_library_ids():
         assert ids[begins[k] : begins[k + 1]].tolist() == w.library.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_do_not_depend_on_the_batch():
+    """Special strings in any case, alone and beside texts with combining marks."""
+    w = packing.WordIds()
+    given = ["<|ENDOFTEXT|> x", "<|endoftext|> X", "a<|EndOfText|>b", "<|startoftext|>", "<| Endoftext |>", "He said STOP", "e\u0301E\u0301 <|ENDOFTEXT|>", "É E\u0301 é", None]
+    want = [w.library.encode(t or "", add_special_tokens=False).ids for t in given]
+    for batch in ([k] for k in range(len(given))), [list(range(len(given)))], [[0, 7], [7, 0, 1], [2, 3, 8, 6]]:
+        for at in batch:
+            ids, begins = w.encode(pa.array([given[k] for k in at], pa.string()))
+            assert [ids[a:z].tolist() for a, z in zip(begins, begins[1:])] == [want[k] for k in at]
+
+
+def test_pieces_against_the_library(spark):
+    """All rows of the query on small tables: ids, lengths, starts and places, text by text."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    library = packing.WordIds().library
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k in range(0, len(ids), 2048):
+            want[r.doc_id, k // 2048] = (k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes()))
+    got = packing.op1_best_fit_packing(spark, sf).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spots in bins.values():
+        spots.sort()
+        assert [a for a, _ in spots] == [sum(n for _, n in spots[:k]) for k in range(len(spots))] and sum(n for _, n in spots) <= 2048
+    assert len(bins) == -(-sum(n for _, n, _ in want.values()) // 2048)  # no fewer can hold them
+
+
+def test_sequences_keep_every_row(spark):
+    rows = [(None, "one two"), (None, "one two"), (None, "three"), (1, None), (1, "one two"), (1, "one two")]
+    got = packing.sequences(spark.createDataFrame(rows, "doc_id long, text string"), capacity=8).collect()
+    library = packing.WordIds().library
+    want = sorted(i for _, t in rows for i in [*library.encode(t or "", add_special_tokens=False).ids, 0])
+    assert sorted(i for r in got for i in r.ids) == want and sorted(str(d) for r in got for d in r.doc_ids) == sorted(str(d) for d, _ in rows)
+
+
 @pytest.mark.parametrize("kept", [0, 5, 60])
 def test_word_ids_survive_forgetting(kept):
     """Batches whose words are all new, all known, or known before the cache began anew."""
