@@ -4,10 +4,10 @@ Normalised text is the words in order, each with a space on both sides; the auto
 of the items (an item of fewer words is one window). Matches give word intervals, and these the offsets in the original.
 Items come in blocks of a bounded number of bytes: usually one, which is one automaton and one pass over the texts. A larger
 benchmark takes a pass for each block, so that the driver and each worker hold one block at a time; the passes' hits are
-joined by row.
+joined by row. A block is one item more than its bytes at most.
 
 Defined results: null texts and texts without a word have no words and no hits; items without a word match nothing; equal
-windows count for each of their items; repeated rows and rows without an id are judged one by one, each by its own text;
+windows count for each of their items; an item without an id hits words as any other, but is not among the items listed; repeated rows and rows without an id are judged one by one, each by its own text;
 other columns are not read.
 """
 
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from postloom.llm.common import Tables, table
 
 WINDOW = 10
-#: Bytes of item texts in one automaton.
-BLOCK_BYTES = 8_000_000
+#: Bytes of item texts in one automaton, which has a node for about every byte of its ten-fold overlapping windows: measured, a
+#: worker has 222 MB with 250,000 bytes of items, 423 MB with 500,000 and 729 MB with a million.
+BLOCK_BYTES = 500_000
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Bytes: A-Z to a-z, other ASCII than letters and digits to a space, the rest as they are.
@@ -102,7 +103,7 @@ def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items, in blocks that a worker's memory holds. They come by partitions, so that the driver holds one at a time."""
     block, size, any_ = [], 0, False
-    for r in benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
+    for r in benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
         if size >= block_bytes:
             yield block
             block, size, any_ = [], 0, True
@@ -112,9 +113,13 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield block
 
 
+def _listed(items) -> list[int]:
+    return sorted(i for i in items if i is not None)
+
+
 def _row(words: list[bytes], text: str, hit: np.ndarray, items: set[int]) -> tuple:
-    spans = _spans(text, hit) if items else []
-    return len(words), int(hit.sum()), sorted(items), [{"start": a, "end": z} for a, z in spans]
+    spans = _spans(text, hit) if hit.any() else []
+    return len(words), int(hit.sum()), _listed(items), [{"start": a, "end": z} for a, z in spans]
 
 
 _FOUND = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>"
@@ -144,7 +149,7 @@ def _hits(block: Block):
             for key, text in zip(batch["key"], batch["text"]):
                 hit, items = block.matcher().find(words_of(text))
                 if items:
-                    rows.append((key, np.flatnonzero(hit), sorted(items)))
+                    rows.append((key, np.flatnonzero(hit), _listed(items)))
             yield pd.DataFrame(rows, columns=["key", "words", "items"]).astype({"key": "int64"})
 
     return run
@@ -224,7 +229,7 @@ dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY 1),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY 1)
+items AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
