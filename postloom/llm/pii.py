@@ -204,7 +204,8 @@ def classifier(table_: list[dict], post: np.ndarray, rounds: int = 30, ridge: fl
 
 
 def _accepted(x: Column, w: np.ndarray) -> Column:
-    """The classifier as a column: base spans stay, others need odds of more than one."""
+    """The classifier as a column: base spans stay, others need odds of more than one. A number that fails the checksum is no card,
+    whatever the odds are."""
     w = [float(v) for v in w]
     score = F.lit(w[0])
     for k in range(len(KINDS)):
@@ -215,7 +216,7 @@ def _accepted(x: Column, w: np.ndarray) -> Column:
     at += 2 * len(VOTES)
     for s in range(4):
         score = score + F.when(x["shape"] == s, w[at + s]).otherwise(0.0)
-    return x["strict"] | (score > 0)
+    return x["strict"] | (score > 0) & ~((x["kind"] == KINDS.index("card")) & (x["v4"] == 2))
 
 
 def train(found: DataFrame) -> np.ndarray:
@@ -241,17 +242,17 @@ def _line(spans_: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of base spans by kind, their digest, the line of all spans, and how many they are."""
+    """doc_id, the counts of base spans by kind, their digest, the line of all spans of these kinds, that of secrets, and how many all are."""
     found = cut(candidates(docs.select("doc_id", "text")).drop("text"))
     found = spans(found, train(found))
     base = F.filter("__spans", lambda x: x["strict"])
     count = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.withColumn("__base", base).select("doc_id", *[count(k) for k in range(4)], F.sha2(_line(F.col("__base")), 256).alias("base_sha256"), _line(F.col("__spans")).alias("spans"), F.size("__spans").cast("long").alias("n_spans"))
+    return found.withColumn("__base", base).select("doc_id", *[count(k) for k in range(4)], F.sha2(_line(F.col("__base")), 256).alias("base_sha256"), _line(F.filter("__spans", lambda x: x["kind"] < len(BASE))).alias("spans"), _line(F.filter("__spans", lambda x: x["kind"] >= len(BASE))).alias("secrets"), F.size("__spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of its texts replaced by its kind in angle brackets, and n_chars made anew."""
-    found = candidates(docs)
+    found = candidates(docs.select(F.struct(*docs.columns).alias("__row"), "text"))  # the columns' names stay among themselves
     found = spans(found, train(found.select("__c")))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     # spans of different kinds may overlap: the later ones give way to what is left of them
@@ -263,9 +264,8 @@ def redact(docs: DataFrame) -> DataFrame:
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", a["at"] + 1, F.length("text"))),
     )
     out = found.withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[made.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
