@@ -84,10 +84,10 @@ def clean(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     """The documents that pass, with their cleaned text and n_chars, in the columns of docs."""
     # a generator drops the others: as a filter, the verdict would be pushed below the columns that it is made of, and repeated
     cleaned = F.explode(F.when(F.col("__kept"), F.array(F.array_join("__kept_lines", "\n")))).alias("__clean")
-    out = judged(docs, most_lost).select(*[c for c in docs.columns if c != "text"], cleaned).withColumnRenamed("__clean", "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")  # the columns' names stay among themselves
+    out = judged(rows, most_lost).select("__row", cleaned)
+    made = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
+    return out.select(*[made.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

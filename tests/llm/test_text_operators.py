@@ -368,5 +368,29 @@ def test_classifier_on_held_out(spark):
 
 
 def test_extra_columns_do_not_clash(spark):
-    df = docs(spark, [CLEAN]).withColumns({"n": F.lit(1), "c": F.lit("x"), "rep": F.lit(2)})
-    assert quality_rules.clean(df).columns == df.columns and pii.redact(df).columns == df.columns
+    """Names that the operators use themselves keep their values."""
+    from postloom.llm import near_dedup
+
+    names = ["n", "c", "rep", "__row", "__c", "__text", "__base", "__more", "__kept", "__spans", "__words", "__lines", "__hash", "__clean", "__key", "__first", "__n", "key", "cls", "kept"]
+    df = docs(spark, [CLEAN]).withColumns({n: F.lit(n) for n in names})
+    for f in (quality_rules.clean, pii.redact, near_dedup.deduplicate):
+        got = f(df)
+        assert got.columns == df.columns
+        assert [got.first()[n] for n in names] == names
+
+
+def test_numbers_that_fail_the_checksum_are_no_cards(spark):
+    """However few rows there are: what votes for them can't make up for it."""
+    bad = "pay with card 4731080387325255 now"
+    for texts in ([bad], [bad] * 3 + ["card 4111111111111111"], [bad + " and visa card 5731080387325257"] * 40):
+        assert all("card" not in (r.spans or "") or "4111" in t for r, t in zip(sorted(pii.digest(docs(spark, texts)).collect(), key=lambda r: r.doc_id), texts))
+
+
+def test_items_without_an_id_hit_words(spark):
+    leak = " ".join(words(12, 3))
+    bench = spark.createDataFrame([(None, leak), (4, "other words entirely"), (5, None)], "item_id long, text string")
+    rows = docs(spark, [f"before {leak} after", "clean text of its own", None, leak * 3000])
+    for block in (10, 500_000):
+        got = {r.doc_id: r for r in decontamination.scan(rows, bench, block_bytes=block).collect()}
+        assert got[0].n_hit == 12 and got[0]["items"] == [] and len(got[0].spans) == 1 and got[1].n_hit == 0 and got[3].n_hit > 0
+        assert sorted(r.doc_id for r in decontamination.drop_contaminated(rows, bench, block_bytes=block).collect()) == [1, 2]
