@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import path_family
 from postloom.functions.time import iso
+from postloom.operators.scan import running
 
 SUMS = {"total_likes": "likes", "total_reactions": "reactions", "total_comments": "comments_count", "total_shares": "shares", "total_views": "views_count"}
 
@@ -95,7 +96,7 @@ def dashboard_kpi(posts: DataFrame, by: str = "job_id") -> DataFrame:
 def seen_in_rounds(rounds: DataFrame) -> DataFrame:
     """A10: distinct posts of each round of a capture, and the most so far. rounds: capture, round, post_id."""
     counts = rounds.groupBy("capture", "round").agg(F.count_distinct("post_id").alias("seen"))
-    return counts.withColumn("most_so_far", F.max("seen").over(Window.partitionBy("capture").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(counts, "capture", ["round"], peaks={"most_so_far": F.col("seen")})
 
 
 def duplicate_lines(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -104,16 +105,40 @@ def duplicate_lines(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("duplicates"))
 
 
-def request_rates(events: DataFrame, seconds: int = 300) -> DataFrame:
+#: Upper ends of the buckets in which durations are counted, in seconds.
+BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
+
+
+def bucket_counts(value: Column, ends: tuple[float, ...] = BUCKETS) -> Column:
+    """An aggregate: how many values are at most each end, then how many there are. Counts of parts add up to those of the whole."""
+    return F.array(*[F.count_if(value <= e) for e in ends], F.count(value))
+
+
+def histogram_quantile(share: float, counts: Column, ends: tuple[float, ...] = BUCKETS) -> Column:
+    """The quantile of bucket_counts(), by a line through the bucket that it falls in; beyond the last end, that end; null for nothing.
+
+    The first bucket begins at 0.
+    """
+    n = F.element_at(counts, -1)
+    rank, out = n * share, F.lit(ends[-1])
+    for k in range(len(ends) - 1, -1, -1):
+        upto, before, begin = F.get(counts, F.lit(k)), F.get(counts, F.lit(k - 1)) if k else F.lit(0), ends[k - 1] if k else 0.0
+        out = F.when((upto >= rank) & (upto > before), begin + (ends[k] - begin) * (rank - before) / (upto - before)).otherwise(out)
+    return F.when(n > 0, out)
+
+
+def request_rates(events: DataFrame, seconds: int = 300, ends: tuple[float, ...] = BUCKETS) -> DataFrame:
     """By window and path family, requests a second, the share of failures, and the 95th percentile of the value.
 
-    events: ts, path, failed, value.
+    events: ts, path, failed, value. The percentile is that of a histogram, as the dashboard has it.
     """
     out = events.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), path_family(F.col("path")).alias("family")).agg(
-        F.count(F.lit(1)).alias("__n"), F.count_if("failed").alias("__bad"), F.percentile_approx("value", 0.95, 10_000).alias("p95"),
+        F.count(F.lit(1)).alias("__n"), F.count_if("failed").alias("__bad"), bucket_counts(F.col("value"), ends).alias("__counts"),
     )
     rate = F.col("__n") / seconds
-    return out.select(F.col("w.start").alias("start"), "family", rate.alias("rate"), (F.col("__bad") / seconds / F.greatest(rate, F.lit(1e-6))).alias("failure_share"), "p95")
+    return out.select(
+        F.col("w.start").alias("start"), "family", rate.alias("rate"), (F.col("__bad") / seconds / F.greatest(rate, F.lit(1e-6))).alias("failure_share"), histogram_quantile(0.95, F.col("__counts"), ends).alias("p95"),
+    )
 
 
 def capped_families(events: DataFrame, most: int = 500) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.operators.scan import running
+
 
 def capped(df: DataFrame, keys: list[str], order: list[str], most: int | None) -> DataFrame:
     """The first rows of each key; all of them without a cap."""
@@ -28,10 +30,8 @@ def recent_targets(jobs: DataFrame, most: int = 4) -> DataFrame:
 
 def stale_at(rounds: DataFrame, stale_rounds: int = 3) -> DataFrame:
     """The round at which each source has had no new item for so many rounds. rounds: source, round, new_items."""
-    w = Window.partitionBy("source").orderBy("round")
-    streaks = rounds.withColumn("__group", F.sum((F.col("new_items") > 0).cast("int")).over(w))
-    streaks = streaks.withColumn("__streak", F.sum((F.col("new_items") == 0).cast("int")).over(Window.partitionBy("source", "__group").orderBy("round")))
-    return streaks.where(F.col("__streak") >= stale_rounds).groupBy("source").agg(F.min("round").alias("round"))
+    streaks = running(rounds.select("source", "round", "new_items"), "source", ["round"], since={"streak": F.col("new_items") > 0})
+    return streaks.where(F.col("streak") >= stale_rounds).groupBy("source").agg(F.min("round").alias("round"))
 
 
 def pagination_stop(rounds: DataFrame, most_items: int | None, most_rounds: int, stale_rounds: int = 3) -> DataFrame:
@@ -39,11 +39,9 @@ def pagination_stop(rounds: DataFrame, most_items: int | None, most_rounds: int,
 
     rounds: source, round (from 1), items, has_more, cancelled, failed. Within a round: cancelled, failed, stale, cap, end.
     """
-    w = Window.partitionBy("source").orderBy("round")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     got = F.when(F.col("cancelled") | F.col("failed"), 0).otherwise(F.col("items"))
-    flagged = rounds.withColumn("__total", F.sum(got).over(upto)).withColumn("__group", F.sum((got > 0).cast("int")).over(upto))
-    flagged = flagged.withColumn("__streak", F.sum((got == 0).cast("int")).over(Window.partitionBy("source", "__group").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)))
+    columns = ["source", "round", "items", "has_more", "cancelled", "failed"]
+    flagged = running(rounds.select(*columns), "source", ["round"], sums={"__total": got}, since={"__streak": got > 0})
     over = F.lit(False) if most_items is None else F.col("__total") >= most_items
     reason = (
         F.when(F.col("cancelled"), "cancelled").when(F.col("failed"), "fetch_error").when(F.col("__streak") >= stale_rounds, "stale").when(over, "item_cap").when(~F.col("has_more"), "no_more")
@@ -57,8 +55,8 @@ def pagination_stop(rounds: DataFrame, most_items: int | None, most_rounds: int,
 
 def changed_progress(progress: DataFrame) -> DataFrame:
     """Rows whose counters differ from the row before of the job; the first always."""
-    w = Window.partitionBy("job_id").orderBy("seq")
-    return progress.withColumn("__before", F.lag("counters").over(w)).where("__before is null or not (__before <=> counters)").drop("__before")
+    rows = running(progress, "job_id", ["seq"], before={"__before": F.struct("counters")})
+    return rows.where("__before is null or not (__before.counters <=> counters)").drop("__before")
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, size: int, most: int) -> DataFrame:

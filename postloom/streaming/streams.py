@@ -1,109 +1,95 @@
 """Streaming versions of the request, progress and ingestion rules. Each takes and gives streaming frames, or tables.
 
-Late data is this library's own policy: a watermark of ten minutes; later rows are dropped, and counted by Spark.
+Streams keep their state with transformWithStateInPandas, so a session that runs them needs the RocksDB state store provider.
+Tables take segmented scans (operators/scan.py): a key with most of the rows is divided. Late data is this library's own policy:
+a watermark of ten minutes; later rows are dropped, and counted by Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from postloom.shared import remove
+from postloom.operators.metrics import BUCKETS, bucket_counts, histogram_quantile
+from postloom.operators.scan import NO_TIME, Spaced, running, spaced
 
 LATE = "10 minutes"
+#: What a rule makes of some rows of a key, from their times, which of them are chosen and what was held before: the rows that stay, and its columns.
+Give = Callable[[np.ndarray, np.ndarray, tuple | None], tuple[np.ndarray, list]]
+
+
+def _visits(times: np.ndarray, chosen: np.ndarray, held: tuple | None) -> tuple[np.ndarray, list]:
+    first = np.zeros(len(times), bool)
+    first[chosen] = True
+    nth = np.cumsum(first)
+    opened = np.concatenate([[held[0] if held else NO_TIME], times[chosen]])[nth]
+    return np.arange(len(times)), [np.where(opened == NO_TIME, np.datetime64("NaT"), opened.astype("datetime64[us]")), first]
+
+
+def _only_chosen(times: np.ndarray, chosen: np.ndarray, held: tuple | None) -> tuple[np.ndarray, list]:
+    return chosen, []
+
+
+class _Chosen(StatefulProcessor):
+    """A rule of rows chosen by time, on a stream. State is one row for each key; with `keep`, it goes so long after the time that
+    `since` takes of it, by a timer of event time."""
+
+    def __init__(self, rule: Spaced, time: str, kind: str, columns: list[str], made: list[str], give: Give, keep: int | None, since: int) -> None:
+        self.rule, self.time, self.kind, self.columns, self.made, self.give, self.keep, self.since = rule, time, kind, columns, made, give, keep, since
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("held", f"opened long, shown {self.kind}, seen long, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        b = pd.concat(list(rows)).sort_values(self.time, kind="stable", na_position="first")
+        stamps = b[self.time].to_numpy("datetime64[us]")
+        times = np.where(np.isnat(stamps), NO_TIME, stamps.astype(np.int64))
+        values = None if self.rule.value is None else np.array([*(None if v is None or v != v else v for v in b[self.rule.value]), None], object)[:-1]
+        *held, timer = self.state.get() if self.state.exists() else (None,) * 4
+        held = tuple(held) if held[2] is not None else None
+        chosen, after = self.rule.chosen(times, values, held)
+        after = (*after[:2], max(after[2], held[2]) if held else after[2])
+        if self.keep is not None:
+            at = max((after[self.since] + self.keep) // 1000, timerValues.getCurrentWatermarkInMs() + 1)
+            if at != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(at)
+            timer = at
+        self.state.update((*after, timer))
+        stay, more = self.give(times, chosen, held)
+        yield b.iloc[stay].assign(**dict(zip(self.made, more)))[[*self.columns, *self.made]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _schema(df: DataFrame, made: str = "") -> str:
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return f"{kept}, {made}" if made else kept
 
 
-#: A rule takes what is held of a key, or None, and some of its rows in order; it gives what is held next, and rows.
-Rule = Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]
-
-
-def _micros(ts: pd.Series) -> list[int]:
-    return [int(x.value // 1000) for x in ts]
-
-
-def _visits(ttl: float) -> Rule:
-    def rule(held: tuple | None, b: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        opened, since, first = held[0] if held else None, [], []
-        for now in _micros(b["ts"]):
-            first.append(opened is None or now - opened >= ttl * 1_000_000)
-            opened = now if first[-1] else opened
-            since.append(pd.Timestamp(opened, unit="us"))
-        return (opened,), b.assign(served_from=since, first=first)
-
-    return rule
-
-
-def _changes(seconds: float) -> Rule:
-    def rule(held: tuple | None, b: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        last, shown = held or (None, None)
-        keep = []
-        for i, (now, counters) in enumerate(zip(_micros(b["ts"]), b["counters"])):
-            if last is None or counters != shown and now - last >= seconds * 1_000_000:
-                last, shown = now, counters
-                keep.append(i)
-        return (last, shown), b.iloc[keep]
-
-    return rule
-
-
-def _takes(most: int, stale_rounds: int) -> Rule:
-    def rule(held: tuple | None, b: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        total, stale, done = held or (0, 0, False)
-        out = []
-        for n in b["items"]:
-            if done:
-                break
-            take = min(int(n), most - total)
-            total, stale = total + take, 0 if n else stale + 1
-            reason = "stale" if stale >= stale_rounds else "item_cap" if total >= most else None
-            done = reason is not None
-            out.append((take, reason))
-        taken = pd.DataFrame(out, columns=["taken", "stop_reason"], index=b.index[: len(out)])
-        return (total, stale, done), b.iloc[: len(out)].assign(**taken)
-
-    return rule
-
-
-def _by_key(df: DataFrame, key: str, order: list[str], rule: Rule, made: str, state: str, timeout: Callable[[tuple], int] | None = None) -> DataFrame:
-    """The rows that a rule gives for each key's rows in order: of a stream, batch by batch, with state; of a table, in one go.
+def _by_rule(df: DataFrame, key: str, time: str, rule: Spaced, made: str, give: Give, keep: int | None, since: int = 0) -> DataFrame:
+    """The rows that a rule gives: of a stream, batch by batch, with state; of a table, by a segmented scan.
 
-    A table is sorted inside its partitions, and a task holds the state of one key and one batch of rows, however many rows a
-    key has. A null key is a key. Rows of a stream are in order within a batch; what comes later is taken as it comes. The
-    rows keep their columns; `made` are the rule's own.
+    A null key is a key. Rows of a stream are in order within a batch; what comes later is taken as it comes.
     """
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    schema = f"{kept}, {made}" if made else kept
-    names = [*df.columns, *[x.split()[0] for x in made.split(", ") if x]]
-
-    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, None
-        for b in batches:
-            out = []
-            for value, part in b.groupby(key, sort=False, dropna=False):
-                if not (value == last or pd.isna(value) and pd.isna(last)):
-                    held = None
-                last, (held, rows) = value, rule(held, part)
-                out.append(rows[names])
-            if out:
-                yield pd.concat(out)
-
-    def stream(_: tuple, batches: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            group.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        held, out = rule(group.get if group.exists else None, rows)
-        group.update(held)
-        if timeout:
-            group.setTimeoutTimestamp(max(timeout(held), group.getCurrentWatermarkMs() + 1))
-        yield out[names]
-
     if not df.isStreaming:
-        return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(table, schema)
-    return df.groupBy(key).applyInPandasWithState(stream, schema, state, "append", "EventTimeTimeout" if timeout else "NoTimeout")
+        return spaced(df, key, time, rule, made, give)
+    late = df if keep is None else df.withWatermark(time, LATE)
+    kind = df.schema[rule.value].dataType.simpleString() if rule.value else "string"
+    processor = _Chosen(rule, time, kind, df.columns, [x.split()[0] for x in made.split(", ") if x], give, keep, since)
+    return late.groupBy(key).transformWithStateInPandas(processor, _schema(df, made), "append", "none" if keep is None else "eventTime")
 
 
 def served(visits: DataFrame, ttl: float) -> DataFrame:
@@ -112,8 +98,8 @@ def served(visits: DataFrame, ttl: float) -> DataFrame:
     A window lasts `ttl` seconds from its first visit and does not slide. State is one time for each key, which leaves when
     the watermark passes its window.
     """
-    late = visits.withWatermark("ts", LATE) if visits.isStreaming else visits
-    return _by_key(late, "key", ["ts"], _visits(ttl), "served_from timestamp, first boolean", "opened long", lambda held: held[0] // 1000 + int(ttl * 1000))
+    wait = int(ttl * 1_000_000)
+    return _by_rule(visits, "key", "ts", Spaced(wait), "served_from timestamp, first boolean", _visits, wait)
 
 
 def once_per_window(requests: DataFrame, seconds: float = 300) -> DataFrame:
@@ -121,26 +107,76 @@ def once_per_window(requests: DataFrame, seconds: float = 300) -> DataFrame:
     return served(requests, seconds).where("first").drop("served_from", "first")
 
 
-def throttled(progress: DataFrame, seconds: float = 1.0) -> DataFrame:
+def throttled(progress: DataFrame, seconds: float = 1.0, forget: float | None = None) -> DataFrame:
     """Progress rows (job_id, ts, counters, ...) that differ from the last row let through, and come a second after it at least.
 
-    The first row of a job always goes through. State is the last row of each job, for as long as the stream runs: a job may
-    be silent for any time, and what it says then has to be compared.
+    The first row of a job always goes through. State is the last row of each job. With `forget`, a job that is silent for so
+    many seconds is forgotten, on a stream by a timer of event time: its next row is a first one. Without it, what a job says
+    after any time is compared, and its state stays.
     """
-    return _by_key(progress, "job_id", ["ts"], _changes(seconds), "", "last long, shown string")
+    long = None if forget is None else int(forget * 1_000_000)
+    return _by_rule(progress, "job_id", "ts", Spaced(int(seconds * 1_000_000), "counters", long), "", _only_chosen, long, 2)
+
+
+class _Takes(StatefulProcessor):
+    """Rounds of a source until its cap, or so many without an item. State is one row for each source."""
 
+    def __init__(self, most: int, stale_rounds: int, silent: int | None) -> None:
+        self.most, self.stale_rounds, self.silent = most, stale_rounds, silent
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("held", "total long, stale long, done boolean", self.silent)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        b = pd.concat(list(rows)).sort_values("round", kind="stable")
+        total, stale, done = self.state.get() if self.state.exists() else (0, 0, False)
+        out = []
+        for n in b["items"].fillna(0).astype("int64"):
+            if done:
+                break
+            take = min(n, self.most - total)
+            total, stale = total + take, 0 if n else stale + 1
+            reason = "stale" if stale >= self.stale_rounds else "item_cap" if total >= self.most else None
+            done = reason is not None
+            out.append((take, reason))
+        self.state.update((int(total), int(stale), done))
+        b = b.iloc[: len(out)]
+        yield b[["source", "round"]].assign(taken=[t for t, _ in out], stop_reason=pd.Series([r for _, r in out], b.index, object))
 
-def capped(items: DataFrame, most: int, stale_rounds: int = 3) -> DataFrame:
-    """Of each source's rounds (source, round, items), those that go on: until the cap, or so many rounds without an item."""
-    out = _by_key(items, "source", ["round"], _takes(most, stale_rounds), "taken long, stop_reason string", "total long, stale long, done boolean")
-    return out.select("source", "round", "taken", "stop_reason")
+    def close(self) -> None:
+        pass
 
 
-def rates(events: DataFrame) -> DataFrame:
-    """T5: request rates, shares of failures and percentiles over five minutes, each minute. events: ts, path, failed, value."""
+def capped(items: DataFrame, most: int, stale_rounds: int = 3, silent: float | None = None) -> DataFrame:
+    """Of each source's rounds (source, round, items), those that go on: until the cap, or so many rounds without an item.
+
+    A null number of items is none. On a stream, state of a source that is silent for `silent` seconds of the clock goes.
+    """
+    items = items.select("source", "round", "items")
+    if items.isStreaming:
+        kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+        schema = f"source {kinds['source']}, round {kinds['round']}, taken long, stop_reason string"
+        long = None if silent is None else int(silent * 1000)
+        return items.groupBy("source").transformWithStateInPandas(_Takes(most, stale_rounds, long), schema, "append", "none" if long is None else "processingTime")
+    n = F.coalesce("items", F.lit(0))
+    rows = running(items, "source", ["round"], sums={"total": n, "place": F.lit(1)}, since={"streak": n != 0})
+    reason = F.when(F.col("streak") >= stale_rounds, "stale").when(F.col("total") >= most, "item_cap")
+    rows = rows.withColumn("stop_reason", reason)
+    stops = rows.where("stop_reason is not null").groupBy(F.col("source").alias("stopped")).agg(F.min("place").alias("stop"))
+    rows = rows.join(stops, F.col("source").eqNullSafe(F.col("stopped")), "left").where("stop is null or place <= stop")
+    upto = lambda x: F.least(x, F.lit(most))
+    return rows.select("source", "round", (upto(F.col("total")) - upto(F.col("total") - n)).cast("long").alias("taken"), "stop_reason")
+
+
+def rates(events: DataFrame, ends: tuple[float, ...] = BUCKETS) -> DataFrame:
+    """T5: request rates, shares of failures and percentiles over five minutes, each minute. events: ts, path, failed, value.
+
+    Percentiles are those of a histogram, so state is a few counts for each window.
+    """
     slid = events.withWatermark("ts", LATE) if events.isStreaming else events
-    out = slid.groupBy(F.window("ts", "5 minutes", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("bad"), F.percentile_approx("value", 0.95, 10_000).alias("p95"))
-    return out.select(F.col("w.start").alias("start"), (F.col("n") / 300).alias("rate"), (F.col("bad") / F.greatest(F.col("n"), F.lit(1))).alias("failure_share"), "p95")
+    out = slid.groupBy(F.window("ts", "5 minutes", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("bad"), bucket_counts(F.col("value"), ends).alias("counts"))
+    p95 = histogram_quantile(0.95, F.col("counts"), ends)
+    return out.select(F.col("w.start").alias("start"), (F.col("n") / 300).alias("rate"), (F.col("bad") / F.greatest(F.col("n"), F.lit(1))).alias("failure_share"), p95.alias("p95"))
 
 
 def alerts(windows: DataFrame, most: float = 0.05, rounds: int = 5) -> DataFrame:
@@ -162,29 +198,54 @@ def latest_counters(progress: DataFrame, known: DataFrame | None = None) -> Data
     return newest.select("job_id", "source_id", "c.*")
 
 
-def live_jobs(progress: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):
-    """T4: keeps a table of the newest counters by source while a stream runs; a job's figures are sums over it.
+class _Newest(StatefulProcessor):
+    """The newest counters of each source of a job; rows for those that a batch changes."""
+
+    def __init__(self, keep: int | None) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("counters", "source_id long", "seq long", self.keep)
 
-    Each batch writes the next version of the table beside the last, so a batch that is run again gives the same table. Older
-    versions than the last but one go.
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        b = pd.concat(list(rows)).sort_values("seq", kind="stable").drop_duplicates("source_id", keep="last")
+        changed = []
+        for source, seq in zip(b["source_id"], b["seq"]):
+            at = (int(source),)
+            held = self.known.getValue(at) if self.known.containsKey(at) else None
+            changed.append(held is None or seq > held[0])
+            if changed[-1]:
+                self.known.updateValue(at, (int(seq),))
+        yield b[changed][["job_id", "source_id", "seq", *COUNTERS]]
+
+    def close(self) -> None:
+        pass
+
+
+def counter_changes(progress: DataFrame, keep: float | None = None) -> DataFrame:
+    """T4: of a stream of progress rows, the newest of each source whenever a batch has a newer one: a change feed.
+
+    State is the newest number of each source of a job. With `keep`, it goes when the source has been silent for so many seconds
+    of the clock; such a stream runs on without data, so its trigger has to be one of time, not availableNow.
     """
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.parquet(f"{table}/v{number - 1}") if number else None
-        latest_counters(batch, known).write.mode("overwrite").parquet(f"{table}/v{number}")
-        remove(spark, f"{table}/v{number - 2}")
+    schema = "job_id long, source_id long, seq long, " + ", ".join(f"{c} long" for c in COUNTERS)
+    rows = progress.select(*[F.col(x.split()[0]).cast("long") for x in schema.split(", ")])
+    ttl = None if keep is None else int(keep * 1000)
+    return rows.groupBy("job_id").transformWithStateInPandas(_Newest(ttl), schema, "append", "none" if ttl is None else "processingTime")
+
 
-    return progress.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def live_jobs(progress: DataFrame, table: str, checkpoint: str, trigger: dict | None = None, keep: float | None = None):
+    """T4: appends changes of counters to a table while a stream runs, each once. latest_counters() of the table is what holds; a
+    job's figures are sums over it. No batch reads or writes what earlier ones wrote."""
+    return counter_changes(progress, keep).writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def ingest(posts: DataFrame, store_path: str, checkpoint: str, trigger: dict | None = None):
-    """Appends a stream of posts (job_id, source_id, dedup_key, ord, ...) that the store lacks. A batch has a folder of its own."""
-    from postloom.operators.dedup import first_of, store
+    """Appends a stream of posts (job_id, source_id, dedup_key, ord, ...) that the store lacks. A batch reads the filters and,
+    if need be, the keys of its own sources' buckets, and has a folder of its own."""
+    from postloom.sources.store import PostStore
 
     def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        # one read of the keys of earlier batches; a folder that this batch left in a failed attempt is not among them
-        new = store(batch, spark.read.parquet(store_path).where(F.col("batch") < number)) if number else first_of(batch, ["source_id", "dedup_key"], ["ord"])
-        new.write.mode("overwrite").parquet(f"{store_path}/batch={number}")
+        PostStore(batch.sparkSession, store_path).append(batch, number)
 
     return posts.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
