@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,26 +55,78 @@ def dedup_posts(posts: DataFrame, within: list[str] | None = None) -> DataFrame:
     return first_of(posts.withColumn("__key", dedup_key()), [*(within or []), "__key"], ["ord"]).drop("__key")
 
 
-def dedup_across_sources(posts: DataFrame, source: str = "source", order: tuple[str, ...] = ("source", "ord")) -> DataFrame:
+#: Posts that one task decides in their order, at most.
+WHOLE = 200_000
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The posts that stay, of parts that come one after another, each in order."""
+    part, keys, contents = None, set(), set()
+    for b in batches:
+        stays = []
+        for p, k, c in zip(*(b.column(x).to_pylist() for x in ("__part", "__k", "__c"))):
+            if p != part:
+                part, keys, contents = p, set(), set()
+            stays.append(k not in keys and c not in contents)
+            if stays[-1]:
+                keys.add(k)
+                contents.add(c)
+        yield b.filter(pa.array(stays, pa.bool_()))
+
+
+def _decided(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """What stays of rows (__part, __k, __c, __at, ...): a part, of at most WHOLE rows, is decided by one task."""
+    dealt = rows.repartition("__part") if parts is None else rows.repartition(parts)
+    return dealt.sortWithinPartitions("__part", "__at").mapInArrow(_in_order, rows.schema)
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """rows (__k, __c, __at) with __part, equal for all that hang together by keys and contents.
+
+    Labels are hashes of keys. Each step takes the least label of a content's posts, then of a key's, then the label of the
+    key that a label is the hash of, so that labels reach twice as far with each step. Equal hashes only join parts.
+    """
+    now = checkpointed(rows.withColumn("__own", F.xxhash64("__k")).withColumn("__part", F.col("__own")))
+    while True:
+        by_content = now.groupBy("__c").agg(F.min("__part").alias("__low"))
+        lower = now.join(by_content, "__c")
+        by_key = checkpointed(lower.groupBy("__own").agg(F.min("__low").alias("__new")))
+        jumped = by_key.select(F.col("__own").alias("__new"), F.col("__new").alias("__far"))
+        by_key = by_key.join(jumped, "__new", "left").select("__own", F.least("__new", "__far").alias("__new"))
+        after = checkpointed(now.join(by_key, "__own").withColumn("__moved", F.col("__part") != F.col("__new")).withColumn("__part", F.col("__new")).drop("__new"))
+        if after.where("__moved").isEmpty():
+            return after.drop("__own", "__moved")
+        now = after.drop("__moved")
+
+
+def dedup_across_sources(posts: DataFrame, source: str = "source", order: tuple[str, ...] = ("source", "ord"), whole: int = WHOLE) -> DataFrame:
     """Within each source by key, then in order over all: a post goes if a post that stays before it has its key or content.
 
-    A post stays for sure if it is the first undecided one of both its key and its content, and goes if a post that stays
-    shares either. Each round decides these, until none is left; a round is cut from the lineage of the last. Firsts are cut
-    too, so that a join on a key or content of very many posts (as that of posts without text and date) can be split.
+    At most `whole` posts are decided by one task, in their order. Of more, a round decides those that are the first of both
+    their key and their content, which stay, and those that share either with them, which go; what is left falls into parts that
+    share neither keys nor contents, each decided in its order by one task, all parts at once. Only a part of more than `whole`
+    posts takes another round. Firsts are cut from their lineage, so that a join on a key or content of very many posts (as
+    that of posts without text and date) can be split.
     """
     inside = dedup_posts(posts, [source])
-    rank = F.struct(*order)
-    todo = checkpointed(inside.select("*", dedup_key().alias("__k"), content_fingerprint().alias("__c"), rank.alias("__at")))
-    whole, kept = todo, None
-    left = todo.select("__k", "__c", "__at")
+    todo = checkpointed(inside.select("*", dedup_key().alias("__k"), content_fingerprint().alias("__c"), F.struct(*order).alias("__at"), F.lit(0).cast("long").alias("__part")))
+    columns = ["__part", "__k", "__c", "__at"]
+    if todo.count() <= whole:
+        return _decided(todo, 1).drop(*columns)
+    left, kept = todo.select("__k", "__c", "__at"), []
     while not left.isEmpty():
         first_k, first_c = checkpointed(left.groupBy("__k").agg(F.min("__at").alias("__fk"))), checkpointed(left.groupBy("__c").agg(F.min("__at").alias("__fc")))
         stays = checkpointed(left.join(first_k, "__k").join(first_c, "__c").where("__at = __fk and __at = __fc").select("__k", "__c", "__at"))
-        kept = stays if kept is None else kept.union(stays)
+        kept.append(stays.select("__at"))
         left = checkpointed(left.join(stays.select("__k"), "__k", "left_anti").join(stays.select("__c"), "__c", "left_anti"))
-    if kept is None:
-        return inside
-    return whole.join(kept.select("__at"), "__at", "left_semi").drop("__k", "__c", "__at")
+        if left.count() <= whole:
+            kept.append(_decided(left.withColumn("__part", F.lit(0).cast("long")).select(*columns), 1).select("__at"))
+            break
+        parts = _parts(left)
+        large = checkpointed(parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > whole).select("__part"))
+        kept.append(_decided(parts.join(large, "__part", "left_anti").select(*columns)).select("__at"))
+        left = parts.join(large, "__part", "left_semi").select("__k", "__c", "__at")
+    return todo.join(reduce(DataFrame.union, kept), "__at", "left_semi").drop(*columns)
 
 
 def store(incoming: DataFrame, stored: DataFrame) -> DataFrame:

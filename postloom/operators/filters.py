@@ -65,14 +65,22 @@ def job_of_owner(jobs: DataFrame, job_id: int, owner_id: int | None) -> DataFram
     return of_owner(jobs.where(F.col("id") == job_id), owner_id)
 
 
-def search(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """rows whose columns, joined by spaces without empty ones, hold the query in any case."""
-    wanted = query.strip().lower()
-    if not wanted:
-        return df
+def wanted_of(query: str) -> str:
+    """A query as it is looked for."""
+    return query.strip().lower()
+
+
+def searched_text(df: DataFrame, columns: list[str]) -> Column:
+    """The columns that are searched, joined by spaces without empty ones, in lower case."""
     kinds = dict(df.dtypes)
     parts = [F.nullif(F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string"), F.lit("")) for c in columns]
-    return df.where(F.lower(F.concat_ws(" ", *parts)).contains(wanted))
+    return F.lower(F.concat_ws(" ", *parts))
+
+
+def search(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """rows whose columns, joined by spaces without empty ones, hold the query in any case."""
+    wanted = wanted_of(query)
+    return df.where(searched_text(df, columns).contains(wanted)) if wanted else df
 
 
 POST_SEARCH = ["page_name", "page_id", "post_id", "text", "caption", "hashtags", "mentions"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom import schemas
 from postloom.functions.text import dom_text
+from postloom.shared import checkpointed
 
 
 def with_engagement(posts: DataFrame, engagement: DataFrame) -> DataFrame:
@@ -79,13 +80,46 @@ def without_job(tables: dict[str, DataFrame], job_ids: DataFrame) -> dict[str, D
     return out
 
 
-def drop_dom_copies(posts: DataFrame) -> DataFrame:
+#: Code points of a gram, by which texts that hold each other find each other.
+GRAM = 8
+
+
+def containments(texts: DataFrame, q: int = GRAM) -> DataFrame:
+    """Pairs (page_key, held, holder) of different texts of a page, of which one holds the other. texts: page_key, text, each once.
+
+    A text that holds another has all its grams, the one that the fewest texts of the page have among them; so each text asks
+    those that have its rarest gram, and is then looked for in them. A text of fewer than q code points is a gram of its own
+    length, and where a page has such texts, its texts have grams of those lengths too.
+    """
+    t = texts.select("page_key", F.col("text").alias("__text"), F.xxhash64("text").alias("__id"), F.length("text").alias("__n")).where("__n > 0")
+    sizes = t.groupBy("page_key").agg(F.collect_set(F.least("__n", F.lit(q))).alias("__sizes"))  # at most q numbers
+    pieces = t.join(sizes, "page_key").select("page_key", "__id", "__n", F.split("__text", "").alias("__c"), F.explode("__sizes").alias("__size")).where("__size <= __n")
+    at = lambda i: F.xxhash64(F.col("__size"), F.array_join(F.slice("__c", i + 1, F.col("__size")), ""))
+    grams = pieces.select("page_key", "__id", "__n", "__size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("__n") - F.col("__size")), at))).alias("__gram"))
+    grams = checkpointed(grams)
+    counts = grams.groupBy("page_key", "__gram").agg(F.count(F.lit(1)).alias("__df"))
+    own = grams.where(F.col("__size") == F.least("__n", F.lit(q))).join(counts, ["page_key", "__gram"])
+    rarest = own.groupBy("page_key", F.col("__id").alias("__held")).agg(F.min(F.struct("__df", "__gram")).alias("__g")).select("page_key", "__held", F.col("__g.__gram").alias("__gram"))
+    met = grams.select("page_key", "__gram", F.col("__id").alias("__holder")).join(rarest, ["page_key", "__gram"]).where("__held <> __holder").select("page_key", "__held", "__holder")
+    text_of = lambda kind: t.select("page_key", F.col("__id").alias(f"__{kind}"), F.col("__text").alias(kind))
+    pairs = met.join(text_of("held"), ["page_key", "__held"]).join(text_of("holder"), ["page_key", "__holder"])
+    return pairs.where(F.contains("holder", "held")).select("page_key", "held", "holder")
+
+
+def drop_dom_copies(posts: DataFrame, q: int = GRAM) -> DataFrame:
     """Without posts that lack an id and whose text holds, or is held by, that of an earlier post of the page with an id.
 
-    posts: page_key, ord, post_id, text. Pairs are met within a page only, whose posts are few.
+    posts: page_key, ord, post_id, text. Equal texts of a page count once; others meet by containments(), never all with all.
     """
-    known = posts.where((F.col("post_id") != "") & (F.col("text") != "")).select("page_key", F.col("ord").alias("__ord"), dom_text(F.col("text")).alias("__text"))
     mine = posts.withColumn("__own", dom_text(F.col("text")))
-    held = F.contains(F.col("__text"), F.col("__own")) | F.contains(F.col("__own"), F.col("__text"))
-    same = (mine["page_key"] == known["page_key"]) & (known["__ord"] < mine["ord"]) & (F.coalesce(mine["post_id"], F.lit("")) == "") & (F.coalesce(mine["text"], F.lit("")) != "") & held
-    return mine.join(known, same, "left_anti").drop("__own")
+    shown = F.coalesce(F.col("text") != "", F.lit(False))
+    known = checkpointed(mine.where((F.col("post_id") != "") & shown).groupBy("page_key", "__own").agg(F.min("ord").alias("__first")))
+    asked = checkpointed(mine.where((F.coalesce("post_id", F.lit("")) == "") & shown).select("page_key", "__own").distinct())
+    pairs = checkpointed(containments(known.select("page_key", "__own").union(asked).distinct().withColumnRenamed("__own", "text"), q))
+    of_known = lambda a, b: pairs.select("page_key", F.col(a).alias("__own"), F.col(b).alias("__other")).join(known.withColumnRenamed("__own", "__other"), ["page_key", "__other"]).select("page_key", "__own", "__first")
+    blank = asked.where("__own = ''").join(known.groupBy("page_key").agg(F.min("__first").alias("__first")), "page_key").select("page_key", "__own", "__first")  # held by all
+    from_blank = known.where("__own = ''").select("page_key", "__first").join(asked, "page_key").select("page_key", "__own", "__first")  # held in all
+    first = known.select("page_key", "__own", "__first").union(of_known("held", "holder")).union(of_known("holder", "held")).union(blank).union(from_blank)
+    first = first.groupBy("page_key", "__own").agg(F.min("__first").alias("__first"))
+    gone = (F.coalesce("post_id", F.lit("")) == "") & shown & F.coalesce(F.col("__first") < F.col("ord"), F.lit(False))
+    return mine.join(first, ["page_key", "__own"], "left").where(~gone).select(*posts.columns)

@@ -65,12 +65,8 @@ def test_dedup_keeps_first(spark):
     assert got == {1, 3} and {r.ord for r in dedup.dedup_posts(df.repartition(5)).collect()} == got
 
 
-def test_across_sources_is_greedy(spark):
-    """Against the sequential rule, on random keys and contents."""
-    rng = random.Random(3)
-    rows = [{"post_id": rng.choice(["k1", "k2", "k3", "k4", "k5", None]), "text": rng.choice("abcdef"), "source": rng.choice(["s1", "s2", "s3"]), "ord": i} for i in range(60)]
-    df = posts(spark, rows)
-    keys = {r.ord: (r.k, r.c) for r in df.select("ord", dedup.dedup_key().alias("k"), dedup.content_fingerprint().alias("c")).collect()}
+def greedy(rows, keys):
+    """The sequential rule. keys: key and content of each post by ord."""
     inside, seen = [], set()
     for r in sorted(rows, key=lambda r: (r["source"], r["ord"])):
         if (r["source"], keys[r["ord"]][0]) not in seen:
@@ -81,8 +77,33 @@ def test_across_sources_is_greedy(spark):
         k, c = keys[r["ord"]]
         if k not in ks and c not in cs:
             kept.add(r["ord"]), ks.add(k), cs.add(c)
-    assert {r.ord for r in dedup.dedup_across_sources(df).collect()} == kept
-    assert dedup.dedup_across_sources(df.limit(0)).count() == 0
+    return kept
+
+
+@pytest.mark.parametrize("whole", [dedup.WHOLE, 25, 3, 0])
+def test_across_sources_is_greedy(spark, whole):
+    """In one task, in parts, and by rounds: random keys and contents, and chains."""
+    rng = random.Random(3)
+    rows = [{"post_id": rng.choice(["k1", "k2", "k3", "k4", "k5", None]), "text": rng.choice("abcdef"), "source": rng.choice(["s1", "s2", "s3"]), "ord": i} for i in range(60)]
+    rows += [{"post_id": f"c{j}_{(i + 1) // 2}", "text": f"t{j}_{i // 2}", "source": f"s{i % 7}", "ord": 100 + 30 * j + i} for j in range(4) for i in range(14)]
+    df = posts(spark, rows)
+    keys = {r.ord: (r.k, r.c) for r in df.select("ord", dedup.dedup_key().alias("k"), dedup.content_fingerprint().alias("c")).collect()}
+    assert {r.ord for r in dedup.dedup_across_sources(df, whole=whole).collect()} == greedy(rows, keys)
+    assert dedup.dedup_across_sources(df.limit(0), whole=whole).count() == 0
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """Each post shares its key with the next and its content with the one before."""
+    rows = [{"post_id": f"k{(i + 1) // 2}", "text": f"t{i // 2}", "source": f"s{i:05}", "ord": i} for i in range(10_000)]
+    df = posts(spark, rows)
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        kept = {r.ord for r in dedup.dedup_across_sources(df).collect()}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == set(range(0, 10_000, 2))
+    assert len(jobs) < 10
 
 
 def test_slice_is_balanced_in_both_orders(spark):
