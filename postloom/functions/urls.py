@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,56 +32,89 @@ def _part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, _PARTS, k)
 
 
+def _let(x: Column, rule: Callable[[Column], Column]) -> Column:
+    """A rule over a value that is made once, however often the rule has it."""
+    return F.get(F.transform(F.array(x), rule), F.lit(0))
+
+
+def parts_of(url: Column) -> Column:
+    """struct<scheme, net, path, query> of an address, each taken from it once."""
+    return F.struct(F.lower(_part(url, 1)).alias("scheme"), _part(url, 2).alias("net"), _part(url, 3).alias("path"), _part(url, 4).alias("query"))
+
+
+def _host_of(net: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(net, "^.*@", ""), ":[0-9]*$", ""))
+
+
 def host(url: Column) -> Column:
     """The host in lower case, without user and port."""
-    return F.lower(F.regexp_replace(F.regexp_replace(_part(url, 2), "^.*@", ""), ":[0-9]*$", ""))
+    return _host_of(_part(url, 2))
 
 
 def _plus(x: Column) -> Column:
     return F.try_url_decode(x)
 
 
+def _without_tracking(query: Column) -> Column:
+    value = lambda p: F.coalesce(_plus(F.substring(p, F.instr(p, "=") + 1, F.length(p))), F.lit(""))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.contains("=")), lambda p: F.struct(F.coalesce(_plus(F.substring_index(p, "=", 1)), F.lit("")).alias("k"), value(p).alias("v")))
+    kept = F.filter(pairs, lambda x: (x["v"] != "") & ~F.lower(x["k"]).isin(*TRACKING))
+    items = F.transform(kept, lambda x: F.struct(x["k"].alias("k"), F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"])).alias("q")))
+
+    def together(items: Column) -> Column:
+        keys = F.array_distinct(F.transform(items, lambda x: x["k"]))
+        return F.array_join(F.flatten(F.transform(keys, lambda k: F.transform(F.filter(items, lambda x: x["k"] == k), lambda x: x["q"]))), "&")
+
+    return _let(items, together)
+
+
 def normalize_post_url(url: Column) -> Column:
     """Without tracking and blank parameters, fragment and closing slashes. Repeated parameters stand together."""
-    pairs = F.transform(F.split(_part(url, 4), "&"), lambda p: F.struct(F.coalesce(_plus(F.substring_index(p, "=", 1)), F.lit("")).alias("k"), p.alias("p")))
-    value = lambda p: F.coalesce(_plus(F.substring(p, F.instr(p, "=") + 1, F.length(p))), F.lit(""))
-    kept = F.filter(pairs, lambda x: x["p"].contains("=") & (value(x["p"]) != "") & ~F.lower(x["k"]).isin(*TRACKING))
-    items = F.transform(kept, lambda x: F.struct(x["k"].alias("k"), F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(value(x["p"]))).alias("q")))
-    keys = F.array_distinct(F.transform(items, lambda x: x["k"]))
-    query = F.array_join(F.flatten(F.transform(keys, lambda k: F.transform(F.filter(items, lambda x: x["k"] == k), lambda x: x["q"]))), "&")
-    path = F.regexp_replace(_part(url, 3), "/+$", "")
-    scheme, net = F.lower(_part(url, 1)), _part(url, 2)
-    front = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(net != "", F.concat(F.lit("//"), net)).otherwise(""))
-    return F.when(url.isNotNull() & (url != ""), F.concat(front, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+    def joined(p: Column) -> Column:
+        front = F.concat(F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise(""), F.when(p["net"] != "", F.concat(F.lit("//"), p["net"])).otherwise(""))
+        path = _let(F.regexp_replace(p["path"], "/+$", ""), lambda x: F.when(x == "", "/").otherwise(x))
+        return F.concat(front, path, _let(_without_tracking(p["query"]), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+
+    return F.when(url.isNotNull() & (url != ""), _let(parts_of(url), joined))
 
 
 def classify_source(url: Column, site: str = SITE) -> Column:
-    """struct<valid, normalized_url, reason> of an address of a page or profile; reason is a code, null if it is valid."""
-    s = F.trim(F.coalesce(url, F.lit("")))
-    full = F.when(s == "", s).when(s.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), s).when(s.startswith("//"), F.concat(F.lit("https:"), s)).otherwise(F.concat(F.lit("https://"), s))
-    scheme, at, path, query = F.lower(_part(full, 1)), host(full), _part(full, 3), _part(full, 4)
-    segments = F.split(F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/$", ""), "/")
-    first, n = F.get(segments, F.lit(0)), F.size(segments)
-    second, third = F.get(segments, F.lit(1)), F.get(segments, F.lit(2))
+    """struct<valid, normalized_url, reason> of an address of a page or profile; reason is a code, null if it is valid.
+
+    The address is taken apart once, then its segments once; the rules read their fields.
+    """
+    whole = lambda s: F.when(s == "", s).when(s.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), s).when(s.startswith("//"), F.concat(F.lit("https:"), s)).otherwise(F.concat(F.lit("https://"), s))
+    segments = lambda path: F.split(F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/$", ""), "/")
+    ids = lambda query: F.filter(F.transform(F.split(query, "&"), lambda p: F.when(p.startswith("id="), F.substring(p, 4, F.length(p)))), lambda x: x.isNotNull() & (x != ""))
+
+    def fields(full: Column) -> Column:
+        return _let(parts_of(full), lambda u: F.struct((full == "").alias("empty"), u["scheme"].alias("scheme"), _host_of(u["net"]).alias("host"), u["path"].alias("path"), segments(u["path"]).alias("segments"), ids(u["query"]).alias("ids")))
+
+    return _let(_let(_let(F.trim(F.coalesce(url, F.lit(""))), whole), fields), lambda p: _judged(p, f"https://www.{site}/", site))
+
+
+def _judged(p: Column, root: str, site: str) -> Column:
+    """The rules of classify_source() over an address's fields."""
+    segments, at = p["segments"], p["host"]
+    first, second, third, n = F.get(segments, F.lit(0)), F.get(segments, F.lit(1)), F.get(segments, F.lit(2)), F.size(segments)
     handle_ok = lambda h: h.rlike("^[^\\s/?#%\\x00-\\x1F\\x7F()]{1,255}$") & ~h.isin(".", "..")
-    ids = F.filter(F.transform(F.split(query, "&"), lambda p: F.when(p.startswith("id="), F.substring(p, 4, F.length(p)))), lambda x: x.isNotNull() & (x != ""))
-    one_id = (F.size(ids) == 1) & F.coalesce(F.get(ids, F.lit(0)).rlike("^[0-9]{5,20}$"), F.lit(False))
+    one_id = (F.size(p["ids"]) == 1) & F.coalesce(F.get(p["ids"], F.lit(0)).rlike("^[0-9]{5,20}$"), F.lit(False))
     people = (n == 3) & F.coalesce(second.rlike("^[^\\s/?#\\x00-\\x1F]{1,200}$") & third.rlike("^[0-9]{5,20}$"), F.lit(False))
     tabs = F.forall(F.slice(segments, 2, F.greatest(n, F.lit(1))), lambda x: (x == "") | F.lower(x).isin(*TABS))
-    root = f"https://www.{site}/"
     reason = (
-        F.when(s == "", "malformed").when(~scheme.isin("http", "https"), "scheme_not_http").when((at != site) & ~at.endswith(f".{site}"), "not_site")
-        .when(F.regexp_replace(path, "/", "") == "", "empty_path")
+        F.when(p["empty"], "malformed").when(~p["scheme"].isin("http", "https"), "scheme_not_http").when((at != site) & ~at.endswith(f".{site}"), "not_site")
+        .when(F.regexp_replace(p["path"], "/", "") == "", "empty_path")
         .when(first == "profile.php", F.when((n == 1) & one_id, None).otherwise("invalid_profile_id"))
         .when(first == "people", F.when(people, None).otherwise("invalid_people_path"))
         .when(first == "pg", F.when(n != 2, "missing_handle").when(handle_ok(second), None).otherwise("segments_invalid"))
         .when(first.isin(*RESERVED), "reserved_path").when(~handle_ok(first) | F.lower(first).isin(*RESERVED), "segments_invalid").when(~tabs, "reserved_path")
     )
     target = (
-        F.when(first == "profile.php", F.concat(F.lit(f"{root}profile.php?id="), F.get(ids, F.lit(0)))).when(first == "people", F.concat(F.lit(f"{root}people/"), second, F.lit("/"), third))
+        F.when(first == "profile.php", F.concat(F.lit(f"{root}profile.php?id="), F.get(p["ids"], F.lit(0)))).when(first == "people", F.concat(F.lit(f"{root}people/"), second, F.lit("/"), third))
         .when(first == "pg", F.concat(F.lit(root), second)).otherwise(F.concat(F.lit(root), first))
     )
-    return F.struct(reason.isNull().alias("valid"), F.when(reason.isNull(), target).alias("normalized_url"), reason.alias("reason"))
+    return _let(reason, lambda r: F.struct(r.isNull().alias("valid"), F.when(r.isNull(), target).alias("normalized_url"), r.alias("reason")))
 
 
 def handle(normalized_url: Column) -> Column:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from postloom import schemas
 from postloom.functions import text, time
 from postloom.plans import views
-from postloom.plans.queries import _ISO, S, _cell, _stored, query
+from postloom.plans.queries import _INCOMING, _ISO, S, _cell, _incoming, _stored, query
 from postloom.shared import new_folder
 from postloom.sources import export, readers
+from postloom.sources.store import PostStore
 from postloom.streaming import streams
 
 _READ = f"{S('posts', 'engagement')} SELECT post_id, post_type, likes, reaction_love_count, CASE WHEN has_link THEN 'https://a.example||x|y' END AS links, {_ISO.format('published_at')} AS published FROM posts_v LEFT JOIN engagement_v USING (id)"
@@ -72,4 +73,14 @@ def t6_ingested_posts(spark, sf):
     for k in (0, 1):
         posts.where(F.col("job_id") % 2 == k).write.mode("append").parquet(f"{at}/in")
         streams.ingest(spark.readStream.schema(posts.schema).parquet(f"{at}/in"), f"{at}/store", f"{at}/log").awaitTermination()
-    return spark.read.parquet(f"{at}/store").select("id", F.col("batch").cast("int").alias("batch"))
+    return PostStore(spark, f"{at}/store").read().select("id", F.col("batch").cast("int").alias("batch"))
+
+
+@query(f"{_INCOMING} SELECT min(id) AS id, source_id, dedup_key FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.source_id = i.source_id AND s.dedup_key = i.dedup_key) GROUP BY source_id, dedup_key")
+def b7_pruned_store(spark, sf):
+    """J5 and B7 against a store by buckets of sources: filters first, then the keys of buckets that may have one."""
+    incoming, stored = _incoming(spark, sf)
+    columns = ["id", "source_id", "dedup_key", "ord"]
+    store = PostStore(spark, new_folder(spark, "store"))
+    store.append(stored.select(*columns), 0)
+    return store.new_posts(incoming.select(*columns)).select("id", "source_id", "dedup_key")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom import schemas
 from postloom.functions import text
 from postloom.plans.queries import AS_OF, query
 from postloom.sources import extract, readers
@@ -34,6 +35,30 @@ def dom_posts(spark: SparkSession, sf: str, *inside: str) -> DataFrame:
 _TEXT = "'<p>Note ', i % 7, ' by @user', i % 5, '</p><script>var x = 1;</script><a href=\"/comment/1\">Comment</a><a href=\"#\">See more</a>'"
 
 
+@query(f"""SELECT page_id AS page_key, CASE page_id % 5 WHEN 0 THEN 'Tom & Co ' || page_id WHEN 1 THEN 'Page ' || page_id WHEN 2 THEN 'Head ' || page_id WHEN 3 THEN 'Top ' || page_id ELSE 'h' || page_id END AS page_name,
+CASE WHEN page_id % 5 = 0 THEN CAST(1234567 + page_id AS VARCHAR) END AS page_id, CASE WHEN page_id % 5 = 0 THEN 'https://www.social.example/people/Tom/' || (1234567 + page_id) ELSE '{PAGE}' END AS profile_url,
+CASE WHEN page_id % 5 = 0 THEN 'https://i.example/' || page_id || '.png' END AS og_image FROM pages""")
+def x1_page_names(spark, sf):
+    """By og:title, by the title, by a link in a heading or a header, by the handle."""
+    html = """CASE i % 5 WHEN 0 THEN concat('<meta property="og:title" content="Tom &amp; Co ', i, ' | social.example"><meta content="https://www.social.example/people/Tom/', 1234567 + i, '" property="og:url"><meta name="og:image" content="https://i.example/', i, '.png"><title>T</title>')
+WHEN 1 THEN concat('<title>Page ', i, ' - social.example</title><h3><a href="/x">no</a></h3>') WHEN 2 THEN concat('<title></title><h3><a href="/x">Head <b>', i, '</b></a></h3>')
+WHEN 3 THEN concat('<header><a href="/y">Top ', i, '</a></header>') ELSE '<p>nothing</p>' END"""
+    pages = built(spark, sf, html).withColumn("handle", F.concat(F.lit("h"), F.col("page_key").cast("string")))
+    return extract.page_meta(pages).select("page_key", "page_name", "page_id", "profile_url", "og_image")
+
+
+@query("""SELECT page_id AS page_key, CASE page_id % 6 WHEN 0 THEN 'a b|c' WHEN 1 THEN 'd e' WHEN 2 THEN 'f' WHEN 4 THEN 'g|h' WHEN 5 THEN 'long enough text' END AS bodies FROM pages WHERE page_id % 6 <> 3""")
+def x2_root_kinds(spark, sf):
+    """Each kind of container, none inside another; marks of a preview that lie too high in the page (3) give none."""
+    deep = "<div><div><div><div><div>"
+    html = f"""concat('<html><body>', CASE i % 6 WHEN 0 THEN '<article>a<article>b</article></article><div role="article">no</div><article>c</article>' WHEN 1 THEN '<div role="article">d<span role="article">e</span></div><div data-ft="1">no</div>'
+WHEN 2 THEN '{deep}<p data-ad-preview="message">f</p>{deep.replace("<", "</")}<div data-ft="1">no</div>' WHEN 3 THEN '<p data-ad-preview="message">no</p><div data-ft="1">no</div>'
+WHEN 4 THEN '<div data-ft="1">g</div><div class="story">a story of some length</div><div data-ft="2">h</div>' ELSE '<div class="x userContent">long enough text</div><div class="story">short</div>' END, '</body></html>')"""
+    parts = extract.dom_parts(built(spark, sf, html))
+    bodies = parts.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("ord", "body"))).alias("b"))  # the few containers of a page
+    return bodies.select("page_key", F.array_join("b.body", "|").alias("bodies"))
+
+
 @query("SELECT page_id AS page_key, CAST(page_id + 1000 AS VARCHAR) AS post_id, 'https://www.social.example/Page/posts/' || (page_id + 1000) AS post_url FROM pages")
 def x3_post_addresses(spark, sf):
     return dom_posts(spark, sf, _TEXT).select("page_key", "post_id", "post_url")
@@ -88,6 +113,15 @@ def x9_script_posts(spark, sf):
     return got.select("page_key", "post_id", "post_url", "text", F.unix_timestamp("published_at").alias("published"), "reactions", "comments_count", "shares", "media_url", text.joined(F.col("mentions")).alias("names"))
 
 
+@query("""SELECT page_id AS page_key, CAST(page_id + 5000 AS VARCHAR) AS post_id, 'Words ' || page_id || CASE page_id % 7 WHEN 5 THEN ' ' || chr(128512) WHEN 6 THEN ' ' || chr(65533) ELSE '' END AS text, page_id % 9 AS shares, page_id % 2 = 0 AS has_image, page_id % 2 = 1 AS has_video, page_id % 3 = 0 AS has_link_preview FROM pages""")
+def x9_script_text_forms(spark, sf):
+    """Each form of a text around an id: in ranges, messages, other keys and contents; pairs of surrogates, and a half of one."""
+    form = """CASE i % 7 WHEN 0 THEN concat('"delight_ranges":[],"text":"Words ', i, '"') WHEN 1 THEN concat('"message":{"x":1,"text":"Words ', i, '"}') WHEN 2 THEN concat('"message_text":"Words ', i, '"')
+WHEN 3 THEN concat('"text_value":"Words ', i, '"') WHEN 4 THEN concat('"content":{"text":"Words ', i, '"}') WHEN 5 THEN concat('"message":{"text":"Words ', i, ' \\\\ud83d\\\\ude00"}') ELSE concat('"message":{"text":"Words ', i, ' \\\\ud83d"}') END"""
+    html = f"""concat('<html><script>{{"post_id":"', i + 5000, '",', {form}, ',"share_count":{{"count":', i % 9, '}},"__typename":"', if(i % 2 = 0, 'Photo', 'Video'), '","story_attachment_style":"', if(i % 3 = 0, 'share', 'album'), '"}}</script></html>')"""
+    return extract.script_posts(built(spark, sf, html)).select("page_key", "post_id", "text", "shares", "has_image", "has_video", "has_link_preview")
+
+
 def _story(number: str, more: str = "''") -> str:
     return f"""concat('{{"__typename":"Story","post_id":"', {number}, '","creation_time":', 1700000000 + i, ',"permalink_url":"/Page/posts/', {number}, '","message":{{"text":"Feed ', i % 7, '"}},"feedback":{{"reaction_count":{{"count":', i % 30, '}}}},"x":[{{"comments":{{"total_count":', i % 11, '}}}}]', {more}, '}}')"""
 
@@ -109,6 +143,19 @@ def x10_feed_posts(spark, sf):
     return extract.feed_posts(rows).select("page_key", F.col("ord").cast("int").alias("ord"), "post_id", "post_url", "text", "reactions", "likes", "comments_count", "shares")
 
 
+@query("""SELECT page_id AS page_key, ord, CAST(page_id + 9000 + ord AS VARCHAR) AS post_id, CASE WHEN ord = 0 AND page_id % 4 < 3 THEN 'https://scontent.x/' || page_id || '.jpg' END AS thumbnail_url, CASE WHEN ord = 0 AND page_id % 4 IN (0, 2) THEN 'https://scontent.x/' || page_id || '.jpg' END AS media_url,
+CASE WHEN ord = 0 AND page_id % 4 = 1 THEN 'https://v.x/' || page_id || '.mp4' END AS video_url, ord = 0 AND page_id % 4 IN (0, 2) AS has_image, ord = 0 AND page_id % 4 = 1 AS has_video FROM pages, (SELECT unnest([0, 1]) AS ord) WHERE ord = 0 OR page_id % 2 = 1""")
+def x10_feed_media(spark, sf):
+    """Stories under data.node and on its time line; a photo, a video, an album of photos, and none."""
+    media = """CASE i % 4 WHEN 0 THEN concat(',"attachments":[{"media":{"__typename":"Photo","image":{"uri":"https://scontent.x/', i, '.jpg"}}}]')
+WHEN 1 THEN concat(',"attachments":[{"media":{"__typename":"Video","image":{"uri":"https://scontent.x/', i, '.jpg"},"playable_url":"https://v.x/', i, '.mp4"}}]')
+WHEN 2 THEN concat(',"attachments":[{"media":{"__typename":"Album"},"styles":{"attachment":{"all_subattachments":{"nodes":[{"media":{"__typename":"Photo","image":{"uri":"https://scontent.x/', i, '.jpg"}}},{"media":{"__typename":"Photo","image":{"uri":"https://scontent.x/second.jpg"}}}]}}}}]') ELSE '' END"""
+    first, second = _story("i + 9000", media), _story("i + 9001")
+    body = f"""if(i % 2 = 0, concat('{{"data":{{"node":', {first}, '}}}}'), concat('{{"data":{{"node":{{"__typename":"User","timeline_list_feed_units":{{"edges":[{{"node":', {first}, '}},{{"node":', {second}, '}}]}}}}}}}}'))"""
+    rows = extract.feed_rows(built(spark, sf, body).withColumnRenamed("html", "body"))
+    return extract.feed_posts(rows).select("page_key", F.col("ord").cast("int").alias("ord"), "post_id", "thumbnail_url", "media_url", "video_url", "has_image", "has_video")
+
+
 @query("SELECT page_id AS page_key, page_id % 2 = 0 AS next_page, 'c' || page_id AS cursor, 1::BIGINT AS stories FROM pages")
 def x11_feed_cursors(spark, sf):
     """M3, M6: documents up to the first bad one, and the last page_info among them."""
@@ -154,3 +201,24 @@ def s3_pages_by_content(spark, sf):
     pages = readers.typed(built(spark, sf, f"if(i % 2 = 0, {_feed(_story('i + 9000'))}, {dom(_TEXT)})"))
     posts, _ = extract.extract(pages, F.expr(AS_OF))
     return pages.select("page_key", "content_type").join(posts.select("page_key", "post_id"), "page_key")
+
+
+_WHOLE = dom(
+    """'<p>Post ', i % 7, ' #tag', i % 3, ' by @user', i % 5, ' see <a href="https://out.example.org/', i, '">o</a></p><abbr data-utime="', 1700000000 + i, '">x</abbr>'""",
+    """'<span aria-label="', i % 40, ' comments"></span><span aria-label="', i % 9, ' shares"></span><span aria-label="Like: ', i % 11, '"></span><span aria-label="Wow: ', i % 4, '"></span><span aria-label="', i % 6, '.5K views"></span>'""",
+    """'<img src="/img/', i, '.jpg" width="640" height="480">'""",
+)
+_NO = ("caption", "reaction_love_count", "reaction_care_count", "reaction_haha_count", "reaction_sad_count", "reaction_angry_count", "video_url", "transcript", "transcript_language", "likes", "page_id")
+
+
+@query(f"""SELECT page_id AS page_key, CAST(page_id + 1000 AS VARCHAR) AS post_id, '{PAGE}' AS source_url, '{PAGE}/posts/' || (page_id + 1000) AS post_url, 'T' AS page_name, '{PAGE}' AS profile_url, 'image' AS post_type, 1700000000 + page_id AS published,
+1700000000 + page_id AS timestamp, 'Post ' || (page_id % 7) || ' #tag' || (page_id % 3) || ' by @user' || (page_id % 5) || ' see o x' AS text, '#tag' || (page_id % 3) AS hashtags, 'user' || (page_id % 5) || '|@user' || (page_id % 5) AS mentions, 'https://out.example.org/' || page_id AS external_links,
+nullif(page_id % 11 + page_id % 4, 0) AS reactions, page_id % 40 AS comments_count, page_id % 9 AS shares, (page_id % 6) * 1000 + 500 AS views_count, page_id % 11 AS reaction_like_count, page_id % 4 AS reaction_wow_count,
+'image' AS media_type, 'https://www.social.example/img/' || page_id || '.jpg' AS thumbnail_url, 'https://www.social.example/img/' || page_id || '.jpg' AS media_url, epoch({AS_OF})::BIGINT AS scraped,
+{", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in _NO)} FROM pages""")
+def x15_canonical_posts(spark, sf):
+    """The whole slice, page to canonical post: all 33 fields."""
+    posts, _ = extract.extract(built(spark, sf, _WHOLE), F.expr(AS_OF))
+    lists = {c: text.joined(F.col(c)).alias(c) for c in ("hashtags", "mentions", "external_links")}
+    made = lists | {"published_at": F.unix_timestamp("published_at").alias("published"), "scraped_at": F.unix_timestamp("scraped_at").alias("scraped")} | {c: F.col(c).cast("string").alias(c) for c in _NO}
+    return posts.select("page_key", *[made.get(f.name, F.col(f.name)) for f in schemas.CANONICAL_POST])

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from postloom import schemas
 from postloom.functions import classify, numbers, text, time, urls
-from postloom.operators import dedup, filters, joins, metrics, ordering, updates
+from postloom.operators import dedup, filters, joins, metrics, ordering, paging, search, updates
 from postloom.plans import slices, views
+from postloom.shared import new_folder
 from postloom.sources import export, extract, readers
 from postloom.streaming import streams
 
@@ -368,11 +369,33 @@ def s2_jobs_of_owner(spark, sf):
     return filters.of_owner(views.view(spark, sf, "jobs"), 7).select("id", "owner_id", "status")
 
 
+@query(f"{S('jobs')} SELECT id, owner_id, status, 'own' AS asked FROM jobs_v WHERE id = (SELECT max(id) FROM jobs_v) UNION ALL SELECT id, owner_id, status, 'any' FROM jobs_v WHERE id = (SELECT max(id) FROM jobs_v)")
+def s2_job_of_owner(spark, sf):
+    """One job, asked for by its owner, by another, and without an owner."""
+    jobs = views.view(spark, sf, "jobs")
+    newest = jobs.agg(F.max_by("id", "id").alias("id"), F.max_by("owner_id", "id").alias("owner_id")).first()
+    asked = {"own": newest["owner_id"], "other": newest["owner_id"] + 1, "any": None}
+    return dedup.union_all([filters.job_of_owner(jobs, newest["id"], owner).select("id", "owner_id", "status", F.lit(k).alias("asked")) for k, owner in asked.items()])
+
+
 @query(f"{S('texts')} SELECT ord FROM texts_v WHERE contains(lower(concat_ws(' ', nullif(page_name, ''), nullif(page_id, ''), nullif(post_id, ''), nullif(text, ''))), 'eatio')")
 def f5_post_search(spark, sf):
     return filters.search(views.view(spark, sf, "texts"), "  EATIO ", ["page_name", "page_id", "post_id", "text"]).select("ord")
 
 
+@query(f"{S('texts')} SELECT ord FROM texts_v WHERE contains(lower(concat_ws(' ', nullif(page_name, ''), nullif(page_id, ''), nullif(post_id, ''), nullif(text, ''))), 'eatio')")
+def f5_indexed_search(spark, sf):
+    """By the trigrams of the query."""
+    rows = views.view(spark, sf, "texts").select("ord", "page_name", "page_id", "post_id", "text")
+    return search.TrigramTable(rows, "ord", ["page_name", "page_id", "post_id", "text"], new_folder(spark, "trigrams")).write().search("  EATIO ").select("ord")
+
+
+@query(f"{S('jobs')} SELECT DISTINCT target FROM jobs_v WHERE contains(lower(target), 'page8')")
+def f7_indexed_suggestions(spark, sf):
+    targets = views.view(spark, sf, "jobs").select("target").distinct()
+    return search.TrigramTable(targets, "target", ["target"], new_folder(spark, "trigrams")).write().search("PAGE8")
+
+
 @query(f"{S('jobs')} SELECT id FROM jobs_v WHERE contains(lower(concat_ws(' ', CAST(id AS VARCHAR), target)), 'page9')")
 def f6_job_search(spark, sf):
     return filters.search(views.view(spark, sf, "jobs"), "Page9", ["id", "target"]).select("id")
@@ -548,9 +571,16 @@ def a11_duplicate_lines(spark, sf):
     return metrics.duplicate_lines(readers.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query(f"{S('requests')} SELECT {_ISO.format('time_bucket(INTERVAL 5 MINUTE, ts)')} AS start, regexp_replace(path, '/[0-9]+', '/{{id}}', 'g') AS family, count(*) / 300.0::DOUBLE AS rate, (count(*) FILTER (failed) / 300.0::DOUBLE) / greatest(count(*) / 300.0::DOUBLE, 1e-6) AS failure_share, quantile_disc(value, 0.95) AS p95 FROM requests_v GROUP BY ALL")
+#: Ends of buckets for the values of events, and the SQL of a histogram's quantile: the bucket that holds the rank, and a line through it.
+ENDS = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 75.0, 90.0)
+_P95 = f"""h AS (SELECT *, list_transform(list_zip({[0.0, *ENDS[:-1]]}, {list(ENDS)}), lambda e: {{'low': e[1], 'high': e[2], 'before': CASE WHEN e[1] = 0 THEN 0 ELSE len(list_filter(vs, lambda v: v <= e[1])) END, 'upto': len(list_filter(vs, lambda v: v <= e[2]))}}) AS b FROM g),
+q AS (SELECT *, list_filter(b, lambda e: e.upto >= 0.95 * len(vs) AND e.upto > e.before) AS f FROM h),
+p AS (SELECT *, CASE WHEN len(vs) = 0 THEN NULL WHEN len(f) = 0 THEN {ENDS[-1]}::DOUBLE ELSE f[1].low + (f[1].high - f[1].low) * (0.95 * len(vs) - f[1].before) / (f[1].upto - f[1].before) END AS p95 FROM q)"""
+
+
+@query(f"{S('requests')}, g AS (SELECT {_ISO.format('time_bucket(INTERVAL 5 MINUTE, ts)')} AS start, regexp_replace(path, '/[0-9]+', '/{{id}}', 'g') AS family, count(*) / 300.0::DOUBLE AS rate, (count(*) FILTER (failed) / 300.0::DOUBLE) / greatest(count(*) / 300.0::DOUBLE, 1e-6) AS failure_share, list(value) FILTER (value IS NOT NULL) AS vs FROM requests_v GROUP BY ALL), {_P95} SELECT start, family, rate, failure_share, p95 FROM p")
 def a12_request_rates(spark, sf):
-    out = metrics.request_rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp")))
+    out = metrics.request_rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp")), ends=ENDS)
     return out.select(time.iso(F.col("start")).alias("start"), "family", "rate", "failure_share", "p95")
 
 
@@ -615,12 +645,16 @@ def l5_latest_errors(spark, sf):
 
 @query(f"{S('users')} SELECT id, row_number() OVER (ORDER BY created_at, id) AS place FROM users_v")
 def l7_users_in_order(spark, sf):
-    from pyspark.sql import Window
+    """Places from the counts of ranges."""
+    users = views.view(spark, sf, "users")
+    return paging.Ordered(users.select("id", "created_at"), [F.col("created_at"), F.col("id")], new_folder(spark, "users")).places().select("id", "place")
+
 
-    u = ordering.users_in_order(views.view(spark, sf, "users"))
-    # places by day first, so that no task gets all users
-    days = u.groupBy("created_at").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("created_at", "before")
-    return u.withColumn("k", F.row_number().over(Window.partitionBy("created_at").orderBy("id"))).join(days, "created_at").select("id", (F.col("before") + F.col("k")).alias("place"))
+@query(f"{S('posts')} SELECT id, {_ISO.format('published_at')} AS published FROM posts_v ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 50 OFFSET 1950")
+def l1_page_by_counts(spark, sf):
+    """The fortieth page, from the ranges that hold it."""
+    posts = paging.Ordered(views.view(spark, sf, "posts").select("id", "published_at"), [F.desc_nulls_last("published_at"), F.desc("id")], new_folder(spark, "pages"))
+    return posts.page(40, 50, 200).select("id", time.iso(F.col("published_at")).alias("published"))
 
 
 # Duplicates
@@ -708,6 +742,15 @@ def r3_failed_sources(spark, sf):
     return updates.fail_sources(s, states, hit)[0]
 
 
+@query(f"WITH {views.SOURCES_SQL} SELECT job_id AS id, source_id, job_id, CASE WHEN source_id % 7 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN source_id % 7 = 0 THEN 3 ELSE 2 END AS consecutive_errors FROM sources_v")
+def r3_failed_checkpoints(spark, sf):
+    """The other result of a source's failure: its checkpoint."""
+    s = views.sources(spark, sf).withColumn("error_code", F.lit(None).cast("string"))
+    hit = s.where("source_id % 7 = 0").select("source_id", "job_id", F.lit("timeout").alias("code"), F.lit("late").alias("message"))
+    states = s.select(F.col("job_id").alias("id"), "source_id", "job_id", "status", F.lit(2).alias("consecutive_errors"))
+    return updates.fail_sources(s, states, hit)[1]
+
+
 @query(f"WITH {views.SOURCES_SQL} SELECT source_id, job_id, CASE WHEN source_id % 3 = 0 THEN extracted + 1 ELSE extracted END AS extracted, CASE WHEN source_id % 3 = 0 AND job_id % 2 = 0 THEN 'created' ELSE status END AS status FROM sources_v UNION ALL SELECT -1, -1, 5, 'created'")
 def r4_merged_checkpoints(spark, sf):
     """R4, and a checkpoint of a new source."""
@@ -821,9 +864,10 @@ def t4_latest_counters(spark, sf):
     return newest.groupBy("job_id").agg(F.count(F.lit(1)).alias("sources"), *[F.sum(c).alias(c) for c in streams.COUNTERS])
 
 
-@query("""WITH w AS (SELECT unnest(list_transform(range(0, 5), lambda i: time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i))) AS start, event_type, value FROM events) SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) / 300.0::DOUBLE AS rate, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS failure_share, quantile_disc(value, 0.95) AS p95 FROM w GROUP BY ALL""")
+@query("""WITH w AS (SELECT unnest(list_transform(range(0, 5), lambda i: time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i))) AS start, event_type, value FROM events), g AS (SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) / 300.0::DOUBLE AS rate, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS failure_share, list(value) FILTER (value IS NOT NULL) AS vs FROM w GROUP BY start), """
++ _P95 + " SELECT start, rate, failure_share, p95 FROM p")
 def t5_sliding_rates(spark, sf):
-    out = streams.rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp")))
+    out = streams.rates(views.view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp")), ENDS)
     return out.select(time.iso(F.col("start")).alias("start"), "rate", "failure_share", "p95")
 
 
@@ -857,13 +901,17 @@ def t2_once_per_window(spark, sf):
     return streams.once_per_window(_visits(spark, sf), 21_600).select("seq")
 
 
-@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+_LET = "(event_type <> shown AND ts - last >= INTERVAL 8 HOUR OR silent)"
+
+
+@query(f"""WITH RECURSIVE v AS MATERIALIZED (SELECT user_id, event_id, ts, event_type, row_number() OVER w AS n, coalesce(ts - lag(ts) OVER w >= INTERVAL 3 DAY, false) AS silent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 r AS (SELECT user_id, event_id, n, ts AS last, event_type AS shown, true AS let FROM v WHERE n = 1 UNION ALL
-SELECT v.user_id, v.event_id, v.n, CASE WHEN event_type <> shown AND ts - last >= INTERVAL 8 HOUR THEN ts ELSE last END, CASE WHEN event_type <> shown AND ts - last >= INTERVAL 8 HOUR THEN event_type ELSE shown END, event_type <> shown AND ts - last >= INTERVAL 8 HOUR
+SELECT v.user_id, v.event_id, v.n, CASE WHEN {_LET} THEN ts ELSE last END, CASE WHEN {_LET} THEN event_type ELSE shown END, {_LET}
 FROM r JOIN v ON v.user_id = r.user_id AND v.n = r.n + 1) SELECT event_id AS seq FROM r WHERE let""")
 def t3_throttled_progress(spark, sf):
+    """A user who is silent for three days is forgotten."""
     e = views.view(spark, sf, "requests").select("job_id", F.col("ts").cast("timestamp").alias("ts"), "counters", "seq")
-    return streams.throttled(e, 8 * 3600).select("seq")
+    return streams.throttled(e, 8 * 3600, 3 * 86_400).select("seq")
 
 
 @query(f"""{S('rounds')}, g AS (SELECT *, sum(items) OVER w AS total, sum((items > 0)::INT) OVER w AS grp FROM rounds_v WINDOW w AS (PARTITION BY source ORDER BY round)),

@@ -203,12 +203,17 @@ def script_posts(pages: DataFrame, site: str = urls.SITE) -> DataFrame:
 
     Counts come from the 20,000 characters after any of its places, the first that has one.
     """
-    hits = pages.where(F.col("html").contains('"post_id"')).select("page_key", "html", F.explode(_matches(F.col("html"), '"post_id"\\s*:\\s*"[0-9]+"')).alias("hit"))
-    hits = hits.select("page_key", "html", F.col("hit.at").alias("at"), F.regexp_extract("hit.m", '"([0-9]+)"$', 1).alias("post_id"))
-    after = F.substring("html", F.col("at") + 1, F.lit(20_000))
-    count = lambda key: F.nullif(F.regexp_extract(after, f'"{key}"\\s*:\\s*\\{{[^}}]*?"count"\\s*:\\s*([0-9]+)', 1), F.lit("")).try_cast("bigint")
+    html = F.col("html")
+    # the windows are cut before a page's hits become rows, so that no row has the page
+    window = lambda m: F.struct(
+        m["at"].alias("at"), F.regexp_extract(m["m"], '"([0-9]+)"$', 1).alias("post_id"), F.substring(html, m["at"] + 1, F.lit(20_000)).alias("after"),
+        F.substring(html, F.greatest(m["at"] - 3000, F.lit(0)) + 1, F.least(m["at"], F.lit(3000)) + 15_000).alias("block"),
+    )
+    found_at = _matches(html, '"post_id"\\s*:\\s*"[0-9]+"')
+    hits = pages.where(html.contains('"post_id"')).select("page_key", F.explode(F.transform(found_at, window)).alias("hit")).select("page_key", "hit.*")
+    count = lambda key: F.nullif(F.regexp_extract("after", f'"{key}"\\s*:\\s*\\{{[^}}]*?"count"\\s*:\\s*([0-9]+)', 1), F.lit("")).try_cast("bigint")
     names = {"reactions": "reaction_count", "comments_count": "comment_count", "shares": "share_count"}
-    hits = hits.withColumns({n: count(k) for n, k in names.items()} | {"block": F.substring("html", F.greatest(F.col("at") - 3000, F.lit(0)) + 1, F.least(F.col("at"), F.lit(3000)) + 15_000)})
+    hits = hits.withColumns({n: count(k) for n, k in names.items()}).drop("after")
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("v"))))["v"].alias(c)
     rows = hits.groupBy("page_key", "post_id").agg(F.min("at").alias("at"), F.min_by("block", "at").alias("block"), *[first(n) for n in names])
     found = lambda pattern, k=1, src="block": F.nullif(F.regexp_extract(src, pattern, k), F.lit(""))

@@ -42,6 +42,13 @@ class Element:
     def label(self) -> str:
         return " ".join(self.text().split())
 
+    def depth(self) -> int:
+        """How many elements are around this one, the document as one."""
+        p, n = self.parent, 0
+        while p is not None:
+            p, n = p.parent, n + 1
+        return n
+
     def inside(self, others: set[int]) -> bool:
         p = self.parent
         while p is not None:
@@ -91,14 +98,10 @@ def post_roots(root: Element) -> list[Element]:
     every = root.all()
     found = [e for e in every if e.name == "article"] or [e for e in every if e.attrs.get("role") == "article"]
     if not found and (marked := [e for e in every if e.attrs.get("data-ad-preview") == "message"]):
-        for e in marked:
-            p, steps = e.parent, 0
-            while p is not None and p.name and steps < 8 and p.attrs.get("role") != "article" and p.name != "article":
-                p, steps = p.parent, steps + 1
-            if p is not None and p.name and steps < 8:
-                found.append(p)
-            elif steps >= 8:
-                found.append(e)
+        # no container is above them, as the page has none: those count that lie deep enough for one, the document itself among what is above
+        found = [e for e in marked if e.depth() >= 8]
+        if not found:
+            return []
     if not found:
         found = [e for e in every if "data-ft" in e.attrs] or [e for e in every if e.name == "div" and _STORY.search(e.attrs.get("class", "")) and len(e.text()) > 10]
     out: list[Element] = []
