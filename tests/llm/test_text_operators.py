@@ -192,8 +192,8 @@ def test_votes_decide_loose_spans(spark):
     """Secrets are added; long names and card numbers that fail the checksum are not; nothing is without the votes."""
     key = "ab12" * 10
     texts = [f'set token = "{key}" here'] * 6 + ["the number 4111111111111112 is one"] * 6 + ["call_of_the_very_long_identifier_1 again"] * 3 + ["+1 (555) 123-4567 rings"] * 3
-    got = {r.doc_id: r.spans for r in pii.digest(docs(spark, texts)).collect()}
-    assert got == {i: f"secret:13:53" if i < 6 else "phone:0:17" if i > 14 else "" for i in range(len(texts))}
+    got = {r.doc_id: (r.spans, r.secrets) for r in pii.digest(docs(spark, texts)).collect()}
+    assert got == {i: ("", "secret:13:53") if i < 6 else ("phone:0:17" if i > 14 else "", "") for i in range(len(texts))}
     found = pii.candidates(docs(spark, texts)).cache()
     assert all(r.n == 0 for r in pii.spans(found, np.zeros(100)).where("doc_id < 15").selectExpr("size(__spans) AS n").collect())
     assert found.where("doc_id > 14").selectExpr("max(size(__c)) AS n").first().n == 1  # no fragment of a base span
