@@ -126,13 +126,22 @@ def x2_post_roots(spark, sf):
     return parts.where("error is null").groupBy("page_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+def _tagless(element: str) -> str:
+    """The words of the given pages' one element of a kind: tags become spaces."""
+    words = f"regexp_replace(regexp_extract(html, '(?s)<{element}\\b[^>]*>(.*)</{element}>', 1), '<[^>]*>', ' ', 'g')"
+    for name, sign in (("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&amp;", "&")):
+        words = f"replace({words}, '{name}', '{sign}')"
+    return f"nullif(trim(regexp_replace({words}, '{_WS}', ' ', 'g')), '')"
+
+
+@query(f"""SELECT page_id AS page_key, 1 AS ord, NULL::VARCHAR AS post_id, NULL::VARCHAR AS post_url, {_tagless('title')} AS page_name, 'text' AS post_type, {_tagless('article')} AS text, NULL::BIGINT AS likes, NULL::BIGINT AS comments_count FROM pages WHERE contains(html, '<article')""")
 def x15_extracted_posts(spark, sf):
     posts, _ = extract.extract(views.view(spark, sf, "pages"), F.expr(AS_OF))
     return posts.select("page_key", "ord", "post_id", "post_url", "page_name", "post_type", "text", "likes", "comments_count")
 
 
-@query(None)
+@query(f"""SELECT page_id AS page_key, 0 AS ord, array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<article\\b[^>]*>(.*)</article>', 1), 'href="(https?://[^"]+)"', 1), '|') AS links, array_to_string(regexp_extract_all({_tagless('article')}, '@([A-Za-z0-9_.-]+)', 1), '|') AS names
+FROM pages WHERE contains(html, '<article')""")
 def x8_links_and_mentions(spark, sf):
     parts = extract.posts_from_parts(extract.dom_parts(views.view(spark, sf, "pages")), F.expr(AS_OF))
     return parts.select("page_key", "ord", text.joined(F.col("external_links")).alias("links"), text.joined(F.col("mentions")).alias("names"))
