@@ -109,13 +109,16 @@ def containments(texts: DataFrame, q: int = GRAM) -> DataFrame:
 def drop_dom_copies(posts: DataFrame, q: int = GRAM) -> DataFrame:
     """Without posts that lack an id and whose text holds, or is held by, that of an earlier post of the page with an id.
 
-    posts: page_key, ord, post_id, text. Equal texts of a page count once; others meet by containments(), never all with all.
+    posts: page_key, ord, post_id, text. Equal texts of a page count once; others meet by containments(), never all with all, and
+    only on pages that have posts of both kinds. posts are made once, and read again.
     """
-    mine = posts.withColumn("__own", dom_text(F.col("text")))
+    mine = checkpointed(posts.withColumn("__own", dom_text(F.col("text"))))
     shown = F.coalesce(F.col("text") != "", F.lit(False))
     known = checkpointed(mine.where((F.col("post_id") != "") & shown).groupBy("page_key", "__own").agg(F.min("ord").alias("__first")))
     asked = checkpointed(mine.where((F.coalesce("post_id", F.lit("")) == "") & shown).select("page_key", "__own").distinct())
-    pairs = checkpointed(containments(known.select("page_key", "__own").union(asked).distinct().withColumnRenamed("__own", "text"), q))
+    both = known.select("page_key").intersect(asked.select("page_key"))
+    texts = known.select("page_key", "__own").union(asked).distinct().join(both, "page_key", "left_semi")
+    pairs = checkpointed(containments(texts.withColumnRenamed("__own", "text"), q))
     of_known = lambda a, b: pairs.select("page_key", F.col(a).alias("__own"), F.col(b).alias("__other")).join(known.withColumnRenamed("__own", "__other"), ["page_key", "__other"]).select("page_key", "__own", "__first")
     blank = asked.where("__own = ''").join(known.groupBy("page_key").agg(F.min("__first").alias("__first")), "page_key").select("page_key", "__own", "__first")  # held by all
     from_blank = known.where("__own = ''").select("page_key", "__first").join(asked, "page_key").select("page_key", "__own", "__first")  # held in all
