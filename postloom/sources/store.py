@@ -77,8 +77,6 @@ class PostStore:
         """Stores what is new as a batch of its own. A batch that is stored again replaces what its last attempt left."""
         new = self.new_posts(incoming, batch).withColumn("bucket", self._bucket())
         new.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.posts}/batch={batch}")
-        if not exists(self.spark, f"{self.posts}/batch={batch}/_SUCCESS"):
-            raise RuntimeError(f"batch {batch} was not written whole")
         keys = self.spark.read.schema(incoming.select(*KEY).schema).parquet(f"{self.posts}/batch={batch}")
         bits = self._bits(keys.dropna()).groupBy("bucket", "bitmap").agg(F.bitmap_construct_agg("bit").alias("bits"))
         bits.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.filters}/batch={batch}")
