@@ -84,3 +84,26 @@ def b7_pruned_store(spark, sf):
     store = PostStore(spark, new_folder(spark, "store"))
     store.append(stored.select(*columns), 0)
     return store.new_posts(incoming.select(*columns)).select("id", "source_id", "dedup_key")
+
+
+_WHOLE_CELLS = {
+    "external_links": "CASE WHEN has_link THEN '[\"https://a.example\",null,\"x|y\"]' ELSE '' END", "source_url": "'https://www.social.example/' || source_id", "scraped_at": "strftime(scraped_at, '%Y-%m-%dT%H:%M:%S+00:00')",
+}
+_WHOLE_ROWS = f"{S('posts', 'engagement')} SELECT {', '.join(f'{_WHOLE_CELLS[f.name]} AS {f.name}' if f.name in _WHOLE_CELLS else _cell(f.name) for f in schemas.CANONICAL_POST)} FROM posts_v LEFT JOIN engagement_v USING (id)"
+
+
+@query(_WHOLE_ROWS)
+def s8_cli_file(spark, sf):
+    """All 33 columns, as they stand in the files."""
+    path = new_folder(spark, "cli")
+    export.write_cli_csv(_stored(spark, sf), path)
+    rows = spark.read.schema(", ".join(f"{f.name} string" for f in schemas.CANONICAL_POST)).options(header="true", escape='"', multiLine="true").csv(path)
+    return rows.na.fill("")
+
+
+@query(_WHOLE_ROWS)
+def s4_whole_posts(spark, sf):
+    """All 33 fields, written as arrays, read, and shown as text."""
+    path = new_folder(spark, "json")
+    export.export(_stored(spark, sf), "json", path)
+    return export.cli_rows(readers.read_posts(spark, path))
