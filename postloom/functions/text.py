@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ SPACE = "[\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202
 _CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
 
 
+def let(x: Column, rule: Callable[[Column], Column]) -> Column:
+    """A rule over a value that is made once, however often the rule has it."""
+    return F.get(F.transform(F.array(x), rule), F.lit(0))
+
+
 def squeeze(x: Column) -> Column:
     """White space collapsed to single spaces, none at the ends."""
     return F.trim(F.regexp_replace(x, f"{SPACE}+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions.text import squeeze
+from postloom.functions.text import let, squeeze
 
 
 def iso(ts: Column) -> Column:
@@ -49,11 +49,16 @@ _FORMS = (
 
 def absolute(x: Column, as_of: Column) -> Column:
     """A timestamp from the forms of dates; forms without a year take this year, or the last if that is over a day ahead."""
-    s = F.trim(x)
-    low = F.lower(s)
-    tidy = F.regexp_replace(F.regexp_replace(F.initcap(low), " At ", " at "), " (Am|Pm)$", " $1")
-    tidy = F.when(tidy.endswith(" Am"), F.concat(F.substring(tidy, 1, F.length(tidy) - 2), F.lit("AM"))).when(tidy.endswith(" Pm"), F.concat(F.substring(tidy, 1, F.length(tidy) - 2), F.lit("PM"))).otherwise(tidy)
 
+    def spelled(s: Column) -> Column:
+        """The text as it is, in lower case, and with the capitals that the formats want."""
+        tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.initcap(F.lower(s)), " At ", " at "), " Am$", " AM"), " Pm$", " PM")
+        return F.struct(s.alias("s"), F.lower(s).alias("low"), tidy.alias("tidy"))
+
+    return let(let(F.trim(x), spelled), lambda t: _absolute(t["s"], t["low"], t["tidy"], as_of))
+
+
+def _absolute(s: Column, low: Column, tidy: Column, as_of: Column) -> Column:
     def read(form: str, has_year: bool) -> Column:
         def one(month: str, year: Column | None) -> Column:
             fmt = form.replace("{M}", month)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postloom.functions.text import let
+
 SITE = "social.example"
 #: Parameters that only track, which post addresses lose.
 TRACKING = ("fbclid", "ref", "source", "medium", "__cft__", "__tn__", "hc_entry", "action_type")
@@ -32,11 +32,6 @@ def _part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, _PARTS, k)
 
 
-def _let(x: Column, rule: Callable[[Column], Column]) -> Column:
-    """A rule over a value that is made once, however often the rule has it."""
-    return F.get(F.transform(F.array(x), rule), F.lit(0))
-
-
 def parts_of(url: Column) -> Column:
     """struct<scheme, net, path, query> of an address, each taken from it once."""
     return F.struct(F.lower(_part(url, 1)).alias("scheme"), _part(url, 2).alias("net"), _part(url, 3).alias("path"), _part(url, 4).alias("query"))
@@ -65,7 +60,7 @@ def _without_tracking(query: Column) -> Column:
         keys = F.array_distinct(F.transform(items, lambda x: x["k"]))
         return F.array_join(F.flatten(F.transform(keys, lambda k: F.transform(F.filter(items, lambda x: x["k"] == k), lambda x: x["q"]))), "&")
 
-    return _let(items, together)
+    return let(items, together)
 
 
 def normalize_post_url(url: Column) -> Column:
@@ -73,10 +68,10 @@ def normalize_post_url(url: Column) -> Column:
 
     def joined(p: Column) -> Column:
         front = F.concat(F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise(""), F.when(p["net"] != "", F.concat(F.lit("//"), p["net"])).otherwise(""))
-        path = _let(F.regexp_replace(p["path"], "/+$", ""), lambda x: F.when(x == "", "/").otherwise(x))
-        return F.concat(front, path, _let(_without_tracking(p["query"]), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+        path = let(F.regexp_replace(p["path"], "/+$", ""), lambda x: F.when(x == "", "/").otherwise(x))
+        return F.concat(front, path, let(_without_tracking(p["query"]), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
 
-    return F.when(url.isNotNull() & (url != ""), _let(parts_of(url), joined))
+    return F.when(url.isNotNull() & (url != ""), let(parts_of(url), joined))
 
 
 def classify_source(url: Column, site: str = SITE) -> Column:
@@ -89,9 +84,9 @@ def classify_source(url: Column, site: str = SITE) -> Column:
     ids = lambda query: F.filter(F.transform(F.split(query, "&"), lambda p: F.when(p.startswith("id="), F.substring(p, 4, F.length(p)))), lambda x: x.isNotNull() & (x != ""))
 
     def fields(full: Column) -> Column:
-        return _let(parts_of(full), lambda u: F.struct((full == "").alias("empty"), u["scheme"].alias("scheme"), _host_of(u["net"]).alias("host"), u["path"].alias("path"), segments(u["path"]).alias("segments"), ids(u["query"]).alias("ids")))
+        return let(parts_of(full), lambda u: F.struct((full == "").alias("empty"), u["scheme"].alias("scheme"), _host_of(u["net"]).alias("host"), u["path"].alias("path"), segments(u["path"]).alias("segments"), ids(u["query"]).alias("ids")))
 
-    return _let(_let(_let(F.trim(F.coalesce(url, F.lit(""))), whole), fields), lambda p: _judged(p, f"https://www.{site}/", site))
+    return let(let(let(F.trim(F.coalesce(url, F.lit(""))), whole), fields), lambda p: _judged(p, f"https://www.{site}/", site))
 
 
 def _judged(p: Column, root: str, site: str) -> Column:
@@ -114,7 +109,7 @@ def _judged(p: Column, root: str, site: str) -> Column:
         F.when(first == "profile.php", F.concat(F.lit(f"{root}profile.php?id="), F.get(p["ids"], F.lit(0)))).when(first == "people", F.concat(F.lit(f"{root}people/"), second, F.lit("/"), third))
         .when(first == "pg", F.concat(F.lit(root), second)).otherwise(F.concat(F.lit(root), first))
     )
-    return _let(reason, lambda r: F.struct(r.isNull().alias("valid"), F.when(r.isNull(), target).alias("normalized_url"), r.alias("reason")))
+    return let(reason, lambda r: F.struct(r.isNull().alias("valid"), F.when(r.isNull(), target).alias("normalized_url"), r.alias("reason")))
 
 
 def handle(normalized_url: Column) -> Column:

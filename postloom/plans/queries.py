@@ -245,6 +245,22 @@ def d4_absolute_times(spark, sf):
     return e.select("event_id", time.iso(time.absolute(x, F.expr(AS_OF))).alias("iso"))
 
 
+#: A text of each form of dates, on both sides of the year's end, and when it is, seen from AS_OF.
+_DATED = {
+    "August 15, 2023 at 3:05 PM": "2023-08-15 15:05:00", "Aug 15, 2023 at 15:05": "2023-08-15 15:05:00", "March 3 at 9:30 AM": "2024-03-03 09:30:00", "Dec 24 at 9:30 PM": "2023-12-24 21:30:00",
+    "Jan 2, 2022": "2022-01-02 00:00:00", "15 August 2023 at 15:05": "2023-08-15 15:05:00", "3 Mar at 21:15": "2024-03-03 21:15:00", "3 March at 9:15 pm": "2024-03-03 21:15:00", "7 July 2021": "2021-07-07 00:00:00",
+    "5 May": "2024-05-05 00:00:00", "16 June": "2024-06-16 00:00:00", "17 June": "2023-06-17 00:00:00", "2023-02-03": "2023-02-03 00:00:00", "2023-02-03 04:05:06": "2023-02-03 04:05:06",
+    "2023-02-03T04:05:06Z": "2023-02-03 04:05:06", "2023-02-03T04:05:06+02:00": "2023-02-03 02:05:06", "33 March": None, "no date": None,
+}
+
+
+@query(f"SELECT doc_id, ({[v or '' for v in _DATED.values()]})[doc_id % {len(_DATED)} + 1] AS at FROM documents")
+def d4_forms_of_dates(spark, sf):
+    said = F.get(F.array(*map(F.lit, _DATED)), (F.col("doc_id") % len(_DATED)).cast("int"))
+    at = time.absolute(F.col("said"), F.expr(AS_OF))
+    return readers.table(spark, sf, "documents").select("doc_id", said.alias("said")).select("doc_id", F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("at"))
+
+
 @query("SELECT event_id, strftime(make_timestamp(CAST(1700000000 + event_id AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
 def d5_epoch_guess(spark, sf):
     n = F.expr("CASE WHEN event_id % 2 = 0 THEN 1700000000 + event_id ELSE (1700000000 + event_id) * 1000 END")
