@@ -108,3 +108,9 @@ def test_merge_prefers_feed(spark):
     got, errors = extract.extract(pages(spark, html), F.lit(NOW))
     rows = got.orderBy("ord").collect()
     assert [r.post_id for r in rows] == ["9", None] and rows[0].text == "Feed text" and rows[0].page_name == "Page One | Social" and errors.count() == 0
+
+
+def test_references_that_were_cut_short(spark):
+    cut = "<article><h1>a&amp;&amp</h1><p>b &lt;c&gt; &copy; &copy=1 &amplt; &nosuch; &#39; &#39 x&y & z</p><script>p&q&amp</script></article>"
+    (r,) = extract.dom_parts(pages(spark, cut)).collect()
+    assert r.shown == "a&&amp b <c> © &copy=1 &amplt; &nosuch; ' &#39 x&y & z" and r.body.endswith("p&q&amp")
