@@ -1,6 +1,6 @@
 """Registered queries of files: what an export wrote is read again, and the SQL says what has to stand in it.
 
-Files go to a folder of their own under the shared one.
+Files go to a folder of their own under the shared one. Text files are compressed, as most of a record is names of fields.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def _compared(posts):
 def s4_json_files(spark, sf):
     """Arrays, written and read."""
     path = new_folder(spark, "json")
-    export.export(_stored(spark, sf), "json", path)
+    export.export(_stored(spark, sf), "json", path, compression="gzip")
     return _compared(readers.read_posts(spark, path))
 
 

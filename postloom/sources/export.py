@@ -34,46 +34,60 @@ def flat(posts: DataFrame) -> DataFrame:
     return posts.select(*[cell(c) for c in schemas.FLAT_COLUMNS])
 
 
-#: Posts up to which a JSON export is one file.
+#: Posts up to which a JSON export is one file, and of an array in a larger one.
 ONE_FILE = 100_000
 
 
-def write_json(posts: DataFrame, path: str, one_file: bool | None = None) -> None:
+def _packed(compression: str | None) -> dict[str, str]:
+    """The writer's options of a compression, "gzip" for one. Readers tell it by the files' names."""
+    return {"compression": compression or "none"}
+
+
+def write_json(posts: DataFrame, path: str, one_file: bool | None = None, compression: str | None = None, most: int = ONE_FILE) -> None:
     """JSON arrays, null fields kept. A small export is one file in the order of the posts, and a larger one if one_file asks
-    for it; else each part file is an array of its own, so that no task writes all of it.
+    for it; else each file is an array of its own, of `most` posts or fewer, so that no task writes all of it or reads more than that.
     """
-    if one_file is None:
-        one_file = posts.limit(ONE_FILE + 1).count() <= ONE_FILE
+    n = posts.limit(most + 1 if one_file is None else 1).count()
+    one_file = n <= most if one_file is None else one_file
     rows = canonical(posts)
-    lines = rows.select(F.monotonically_increasing_id().alias("i"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
-    if lines.isEmpty():
-        return rows.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    if not n:
+        return rows.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").options(**_packed(compression)).text(path)
+    size = None if one_file else most
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = "["
+        def one(b: pa.RecordBatch, at: int, last: bool) -> pa.RecordBatch:
+            place = [(at + i) % size if size else at + i for i in range(b.num_rows)]
+            ends = ["]" if size and k == size - 1 else "" for k in place]
+            if last:
+                ends[-1] = "]"
+            return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(["," if k else "[" for k in place]), b.column("value"), pa.array(ends), "")], ["value"])
+
+        at, held = 0, None
         for b in (b for b in batches if b.num_rows):
-            marks = pa.array([mark, *[","] * (b.num_rows - 1)], pa.string())
-            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, b.column("value"), "")], ["value"])
-            mark = ","
-        if mark == ",":
-            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+            if held is not None:
+                yield one(held, at, False)
+                at += held.num_rows
+            held = b
+        if held is not None:
+            yield one(held, at, True)
 
-    lines = lines.coalesce(1).sortWithinPartitions("i") if one_file else lines
-    lines.select("value").mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+    value = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")
+    lines = rows.select(F.monotonically_increasing_id().alias("i"), value).coalesce(1).sortWithinPartitions("i").select("value") if one_file else rows.select(value)
+    lines.mapInArrow(framed, "value string").write.mode("overwrite").options(**_packed(compression), maxRecordsPerFile=size or 0).text(path)
 
 
-def write_jsonl(posts: DataFrame, path: str) -> None:
+def write_jsonl(posts: DataFrame, path: str, compression: str | None = None) -> None:
     """A JSON object a line, null fields kept."""
-    canonical(posts).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    canonical(posts).write.mode("overwrite").options(**_packed(compression), ignoreNullFields="false").json(path)
 
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def write_csv(posts: DataFrame, path: str) -> None:
+def write_csv(posts: DataFrame, path: str, compression: str | None = None) -> None:
     """The flat columns with a byte-order mark, quotes where they are needed. Each part file has the header."""
     rows = flat(posts)
-    rows.withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0]).write.mode("overwrite").options(**_CSV).csv(path)
+    rows.withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0]).write.mode("overwrite").options(**_CSV, **_packed(compression)).csv(path)
 
 
 def cli_rows(posts: DataFrame) -> DataFrame:
@@ -83,8 +97,8 @@ def cli_rows(posts: DataFrame) -> DataFrame:
     return rows.select(*[F.coalesce(as_json(F.col(c)) if kinds[c].startswith("array") else F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
 
 
-def write_cli_csv(posts: DataFrame, path: str) -> None:
-    cli_rows(posts).write.mode("overwrite").options(**_CSV).csv(path)
+def write_cli_csv(posts: DataFrame, path: str, compression: str | None = None) -> None:
+    cli_rows(posts).write.mode("overwrite").options(**_CSV, **_packed(compression)).csv(path)
 
 
 def metadata(posts: DataFrame, job_id: str, source: str, exported_at: str, schema_version: str = "1.0", filename: str = "posts.csv") -> DataFrame:
@@ -112,16 +126,16 @@ def write_batches(posts: DataFrame, path: str, rows: int = 500, partitions: int
 FORMATS = ("json", "jsonl", "csv", "excel", "xlsx")
 
 
-def export(posts: DataFrame, fmt: str, path: str, job_id: str = "", source: str = "", exported_at: str = "") -> None:
-    """Dispatch by format; unknown formats are errors."""
+def export(posts: DataFrame, fmt: str, path: str, job_id: str = "", source: str = "", exported_at: str = "", compression: str | None = None) -> None:
+    """Dispatch by format; unknown formats are errors. Text formats may be compressed; sheets are Parquet in any case."""
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     if fmt == "csv":
-        write_csv(posts, path)
+        write_csv(posts, path, compression=compression)
     elif fmt == "json":
-        write_json(posts, path)
+        write_json(posts, path, compression=compression)
     elif fmt == "jsonl":
-        write_jsonl(posts, path)
+        write_jsonl(posts, path, compression=compression)
     else:
         for name, sheet in workbook(posts, job_id, source, exported_at).items():
             sheet.write.mode("overwrite").parquet(f"{path}/{name}")

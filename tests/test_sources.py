@@ -122,3 +122,14 @@ def test_links_and_mentions_stand_as_often_as_found(spark):
     assert r.mentions == ["bob", "bob"] and r.external_links == ["https://x.org/a"] * 2
     got, _ = extract.extract(pages(spark, twice), F.lit(NOW))
     assert (got.first().mentions, got.first().external_links) == (["bob", "@bob"], ["https://x.org/a"])
+
+
+def test_large_json_has_bounded_arrays_and_may_be_compressed(spark, tmp_path):
+    rows = spark.range(25).repartition(2).select(*[(F.col("id").cast("string") if f.name == "post_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CANONICAL_POST])
+    export.write_json(rows, str(tmp_path / "p"), most=5)
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "p").glob("part-*")]
+    assert max(map(len, parts)) == 5 and sorted(int(r["post_id"]) for x in parts for r in x) == [*range(25)]
+    for fmt in ("json", "jsonl", "csv"):
+        export.export(rows, fmt, str(tmp_path / fmt), compression="gzip")
+        assert all(p.suffix == ".gz" for p in (tmp_path / fmt).glob("part-*"))
+    assert {r.post_id for r in readers.read_posts(spark, str(tmp_path / "json")).collect()} == {str(k) for k in range(25)}
