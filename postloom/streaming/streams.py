@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -168,17 +168,30 @@ def capped(items: DataFrame, most: int, stale_rounds: int = 3, silent: float | N
     return rows.select("source", "round", (upto(F.col("total")) - upto(F.col("total") - n)).cast("long").alias("taken"), "stop_reason")
 
 
-def rates(events: DataFrame, ends: tuple[float, ...] = BUCKETS) -> DataFrame:
+def rates(events: DataFrame, ends: tuple[float, ...] | None = BUCKETS) -> DataFrame:
     """T5: request rates, shares of failures and percentiles over five minutes, each minute. events: ts, path, failed, value.
 
-    Percentiles are those of a histogram, so state is a few counts for each window.
+    Percentiles are those of a histogram, so state is a few counts for each window. Without ends, which only tables can do, they
+    are exact: the least value that 95 of 100 values do not exceed.
     """
+    if ends is None:
+        return _exact_rates(events)
     slid = events.withWatermark("ts", LATE) if events.isStreaming else events
     out = slid.groupBy(F.window("ts", "5 minutes", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("bad"), bucket_counts(F.col("value"), ends).alias("counts"))
     p95 = histogram_quantile(0.95, F.col("counts"), ends)
     return out.select(F.col("w.start").alias("start"), (F.col("n") / 300).alias("rate"), (F.col("bad") / F.greatest(F.col("n"), F.lit(1))).alias("failure_share"), p95.alias("p95"))
 
 
+def _exact_rates(events: DataFrame) -> DataFrame:
+    """rates() of a table: values of a window are counted, equal ones together, and ranked by running sums of those counts."""
+    by_value = events.groupBy(F.window("ts", "5 minutes", "1 minute")["start"].alias("start"), "value").agg(F.count(F.lit(1)).alias("__n"), F.count_if("failed").alias("__bad"), F.count("value").alias("__k"))
+    own = Window.partitionBy("start")
+    ranked = by_value.withColumns({"__upto": F.sum("__k").over(own.orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__k").over(own)})
+    rank = F.greatest(F.lit(1), F.col("__all") - F.expr("__all * 5 div 100"))
+    out = ranked.groupBy("start").agg(F.sum("__n").alias("n"), F.sum("__bad").alias("bad"), F.min(F.when((F.col("__k") > 0) & (F.col("__upto") >= rank), F.col("value"))).alias("p95"))
+    return out.select("start", (F.col("n") / 300).alias("rate"), (F.col("bad") / F.col("n")).alias("failure_share"), "p95")
+
+
 def alerts(windows: DataFrame, most: float = 0.05, rounds: int = 5) -> DataFrame:
     """T5: windows at which the share of failures has been over the limit in each of the last minutes, of a batch of rates().
 

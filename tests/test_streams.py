@@ -140,3 +140,11 @@ def test_rules_on_a_table_are_held_across_batches_and_reset_at_keys(spark):
         assert streams.throttled(spark.createDataFrame([], "job_id long, ts timestamp, counters string")).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_percentiles_of_a_table_are_exact(spark):
+    at = datetime(2024, 1, 1, 0, 4, 30)
+    rows = [(at, "/a", k % 10 == 0, float(k) if k else None) for k in range(101)] + [(at, "/a", False, 3.0)] * 100 + [(datetime(2024, 1, 2), "/a", True, None)]
+    out = streams.rates(spark.createDataFrame(rows, "ts timestamp, path string, failed boolean, value double"), None)
+    got = {(r.rate, r.failure_share, r.p95) for r in out.collect()}
+    assert got == {(201 / 300, 11 / 201, 90.0), (1 / 300, 1.0, None)} and out.count() == 10
