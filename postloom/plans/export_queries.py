@@ -44,7 +44,7 @@ def s5_csv_files(spark, sf):
 def s6_json_lines(spark, sf):
     """Lines as they stand in the files, null fields among them."""
     path = new_folder(spark, "jsonl")
-    export.export(_stored(spark, sf), "jsonl", path)
+    export.export(_stored(spark, sf), "jsonl", path, compression="gzip")
     field = lambda c: F.get_json_object("value", f"$.{c}").alias(c)
     return spark.read.text(path).select(field("post_id"), field("likes"), field("published_at"), F.size(F.json_object_keys("value")).alias("fields"), F.contains("value", F.lit('"reaction_care_count":null')).alias("nulls_kept"))
 

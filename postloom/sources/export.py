@@ -38,9 +38,9 @@ def flat(posts: DataFrame) -> DataFrame:
 ONE_FILE = 100_000
 
 
-def _packed(compression: str | None) -> dict[str, str]:
-    """The writer's options of a compression, "gzip" for one. Readers tell it by the files' names."""
-    return {"compression": compression or "none"}
+def _packed(compression: str | None) -> dict[str, str | int]:
+    """The writer's options of a compression, "gzip" for one. Readers tell it by the files' names, and can't divide such files."""
+    return {"compression": compression or "none", "maxRecordsPerFile": ONE_FILE if compression else 0}
 
 
 def write_json(posts: DataFrame, path: str, one_file: bool | None = None, compression: str | None = None, most: int = ONE_FILE) -> None:
@@ -73,7 +73,7 @@ def write_json(posts: DataFrame, path: str, one_file: bool | None = None, compre
 
     value = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")
     lines = rows.select(F.monotonically_increasing_id().alias("i"), value).coalesce(1).sortWithinPartitions("i").select("value") if one_file else rows.select(value)
-    lines.mapInArrow(framed, "value string").write.mode("overwrite").options(**_packed(compression), maxRecordsPerFile=size or 0).text(path)
+    lines.mapInArrow(framed, "value string").write.mode("overwrite").options(**_packed(compression) | {"maxRecordsPerFile": size or 0}).text(path)
 
 
 def write_jsonl(posts: DataFrame, path: str, compression: str | None = None) -> None:
@@ -120,7 +120,7 @@ def write_batches(posts: DataFrame, path: str, rows: int = 500, partitions: int
     """Newest first, in files of at most `rows` rows; file order is the order of the posts."""
     n = partitions or int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc_nulls_last("published_at"), F.desc("id" if "id" in posts.columns else "post_id")]
-    posts.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+    posts.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").options(**{"maxRecordsPerFile": rows, "mapreduce.fileoutputcommitter.algorithm.version": "2"}).parquet(path)
 
 
 FORMATS = ("json", "jsonl", "csv", "excel", "xlsx")

@@ -133,3 +133,12 @@ def test_large_json_has_bounded_arrays_and_may_be_compressed(spark, tmp_path):
         export.export(rows, fmt, str(tmp_path / fmt), compression="gzip")
         assert all(p.suffix == ".gz" for p in (tmp_path / fmt).glob("part-*"))
     assert {r.post_id for r in readers.read_posts(spark, str(tmp_path / "json")).collect()} == {str(k) for k in range(25)}
+
+
+def test_compressed_lines_and_tables_are_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(export, "ONE_FILE", 5)
+    rows = spark.range(12).repartition(1).select(*[(F.col("id").cast("string") if f.name == "post_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CANONICAL_POST])
+    export.write_jsonl(rows, str(tmp_path / "l"), "gzip")
+    export.write_cli_csv(rows, str(tmp_path / "c"), "gzip")
+    for folder, n in (("l", 12), ("c", 15)):  # each table has its header
+        assert len(list((tmp_path / folder).glob("part-*.gz"))) == 3 and spark.read.text(str(tmp_path / folder)).count() == n
