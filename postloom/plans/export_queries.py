@@ -35,7 +35,7 @@ def s4_json_files(spark, sf):
 @query(f"{S('posts', 'engagement')} SELECT {', '.join(_cell(c) for c in schemas.FLAT_COLUMNS)} FROM posts_v LEFT JOIN engagement_v USING (id)")
 def s5_csv_files(spark, sf):
     path = new_folder(spark, "csv")
-    export.export(_stored(spark, sf), "csv", path)
+    export.export(_stored(spark, sf), "csv", path, compression="gzip")
     rows = spark.read.schema(", ".join(f"{c} string" for c in schemas.FLAT_COLUMNS)).options(header="true", escape='"', multiLine="true").csv(path)
     return rows.na.fill("")
 
@@ -96,7 +96,7 @@ _WHOLE_ROWS = f"{S('posts', 'engagement')} SELECT {', '.join(f'{_WHOLE_CELLS[f.n
 def s8_cli_file(spark, sf):
     """All 33 columns, as they stand in the files."""
     path = new_folder(spark, "cli")
-    export.write_cli_csv(_stored(spark, sf), path)
+    export.write_cli_csv(_stored(spark, sf), path, "gzip")
     rows = spark.read.schema(", ".join(f"{f.name} string" for f in schemas.CANONICAL_POST)).options(header="true", escape='"', multiLine="true").csv(path)
     return rows.na.fill("")
 
