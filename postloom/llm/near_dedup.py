@@ -128,21 +128,22 @@ def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sk = _sketches(b["sketch"]).astype(_U) if len(b) else np.zeros((0, COORDINATES), _U)
         trees = np.arange(TREES, dtype=_U)
         nodes = _of_tree(mix(mix(sk[:, :TREES] + (trees << _U(32))[None, :]) ^ _B[0]), trees[None, :])
-        yield pd.DataFrame({"node": nodes.astype(np.int64).ravel(), "cls": np.repeat(b["cls"].to_numpy(np.int64), TREES)})
+        own = sk[:, : TREES * LEVELS].reshape(-1, LEVELS, TREES).transpose(0, 2, 1)[:, :, 1:]  # of each tree, its tokens for the levels to come
+        yield pd.DataFrame({"node": nodes.astype(np.int64).ravel(), "cls": np.repeat(b["cls"].to_numpy(np.int64), TREES), "own": [x.tobytes() for x in own.reshape(-1, LEVELS - 1).astype("<u4")]})
 
 
 def _children(level: int):
-    """Branch each (node, class) by the token of its tree's own coordinate for the level."""
+    """Branch each (node, class, own) by the token of its tree's own coordinate for the level."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             node = b["node"].to_numpy(np.int64).astype(_U)
-            sk, tree = _sketches(b["sketch"]).astype(_U), node & _U(255)
-            at = (tree + _U(level * TREES)).astype(np.int64)
-            child = _of_tree(mix(mix(node) ^ mix(sk[np.arange(len(b)), at] + (at.astype(_U) << _U(32)))), tree)
-            yield pd.DataFrame({"node": child.astype(np.int64), "cls": b["cls"]})
+            token, tree = np.frombuffer(b"".join(b["own"]), "<u4").reshape(-1, LEVELS - 1)[:, level - 1].astype(_U), node & _U(255)
+            at = tree + _U(level * TREES)
+            child = _of_tree(mix(mix(node) ^ mix(token + (at << _U(32)))), tree)
+            yield pd.DataFrame({"node": child.astype(np.int64), "cls": b["cls"], "own": b["own"]})
 
     return run
 
@@ -312,15 +313,15 @@ def groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
     classes = t.write("classes", classes.select("cls", "first.key", "first.doc_id", "sketch"))
     sketches = classes.select("cls", "sketch")
 
-    # the trees: small nodes, and those that are large after all levels
+    # the trees: small nodes, and those that are large after all levels; nodes carry what they are branched by, so no level meets the sketches again
     small, large, roots = [], None, None
     for level in range(LEVELS):
         if level == 0:
-            nodes = sketches.mapInPandas(_roots, "node long, cls long")
+            nodes = sketches.mapInPandas(_roots, "node long, cls long, own binary")
         elif large.isEmpty():
             break
         else:
-            nodes = t.write(f"children_{level}", large.select("node", "cls").join(sketches, "cls").mapInPandas(_children(level), "node long, cls long"))
+            nodes = t.write(f"children_{level}", large.select("node", "cls", "own").mapInPandas(_children(level), "node long, cls long, own binary"))
         sizes = t.write(f"sizes_{level}", nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         nodes = t.write(f"nodes_{level}", nodes.join(sizes, "node"))
         small.append(nodes.where(F.col("n") <= LEAF))

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
+
 import corpus_pipeline
 from postloom.llm import near_dedup, packing
 from postloom.llm.common import Tables
@@ -132,3 +135,15 @@ def test_pipeline_decides_by_row(spark, tmp_path):
             assert sorted(r.kept for r in frame.collect()) == ["p", "q", "r", "x", "z"]
     assert sorted(r.kept for r in frame.collect()) == ["q", "x", "z"]
     assert packing.pack(empty).count() == 0
+
+
+def test_nodes_are_branched_by_what_they_carry():
+    rng = np.random.default_rng(3)
+    sketches = pd.DataFrame({"cls": [*range(9)], "sketch": [rng.integers(0, 4, near_dedup.COORDINATES).astype("<u4").tobytes() for _ in range(9)]})
+    (roots,) = near_dedup._roots(iter([sketches]))
+    assert set(roots) == {"node", "cls", "own"} and len(roots) == 9 * near_dedup.TREES
+    for level in range(1, near_dedup.LEVELS):
+        (below,) = near_dedup._children(level)(iter([roots[["node", "cls", "own"]]]))
+        tokens = np.frombuffer(b"".join(sketches["sketch"]), "<u4").reshape(9, -1)[below["cls"], (roots["node"] & 255) + level * near_dedup.TREES]
+        assert below.groupby("node").ngroups == pd.DataFrame({"node": roots["node"], "token": tokens}).drop_duplicates().shape[0]
+        roots = below
