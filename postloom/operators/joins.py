@@ -82,6 +82,8 @@ def without_job(tables: dict[str, DataFrame], job_ids: DataFrame) -> dict[str, D
 
 #: Code points of a gram, by which texts that hold each other find each other.
 GRAM = 8
+#: Pairs of texts that a page may have for all of them to be compared.
+FEW = 64
 
 
 def containments(texts: DataFrame, q: int = GRAM) -> DataFrame:
@@ -109,20 +111,24 @@ def containments(texts: DataFrame, q: int = GRAM) -> DataFrame:
 def drop_dom_copies(posts: DataFrame, q: int = GRAM) -> DataFrame:
     """Without posts that lack an id and whose text holds, or is held by, that of an earlier post of the page with an id.
 
-    posts: page_key, ord, post_id, text. Equal texts of a page count once; others meet by containments(), never all with all, and
-    only on pages that have posts of both kinds. posts are made once, and read again.
+    posts: page_key, ord, post_id, text. Equal texts of a page count once. On a page of at most FEW pairs, each text without an id
+    is compared with each that has one; on others they meet by containments(), never all with all, and only on pages that have
+    posts of both kinds. posts are made once, and read again.
     """
     mine = checkpointed(posts.withColumn("__own", dom_text(F.col("text"))))
     shown = F.coalesce(F.col("text") != "", F.lit(False))
     known = checkpointed(mine.where((F.col("post_id") != "") & shown).groupBy("page_key", "__own").agg(F.min("ord").alias("__first")))
     asked = checkpointed(mine.where((F.coalesce("post_id", F.lit("")) == "") & shown).select("page_key", "__own").distinct())
-    both = known.select("page_key").intersect(asked.select("page_key"))
-    texts = known.select("page_key", "__own").union(asked).distinct().join(both, "page_key", "left_semi")
+    n = known.groupBy("page_key").agg(F.count(F.lit(1)).alias("__known")).join(asked.groupBy("page_key").agg(F.count(F.lit(1)).alias("__asked")), "page_key")
+    both = checkpointed(n.select("page_key", (F.col("__known") * F.col("__asked") <= FEW).alias("__few")))
+    texts = known.select("page_key", "__own").union(asked).distinct().join(both.where("not __few"), "page_key", "left_semi")
     pairs = checkpointed(containments(texts.withColumnRenamed("__own", "text"), q))
+    some = asked.join(both.where("__few"), "page_key", "left_semi").join(known.withColumnRenamed("__own", "__other"), "page_key")
+    compared = some.where(F.contains("__own", "__other") | F.contains("__other", "__own")).select("page_key", "__own", "__first")
     of_known = lambda a, b: pairs.select("page_key", F.col(a).alias("__own"), F.col(b).alias("__other")).join(known.withColumnRenamed("__own", "__other"), ["page_key", "__other"]).select("page_key", "__own", "__first")
     blank = asked.where("__own = ''").join(known.groupBy("page_key").agg(F.min("__first").alias("__first")), "page_key").select("page_key", "__own", "__first")  # held by all
     from_blank = known.where("__own = ''").select("page_key", "__first").join(asked, "page_key").select("page_key", "__own", "__first")  # held in all
-    first = known.select("page_key", "__own", "__first").union(of_known("held", "holder")).union(of_known("holder", "held")).union(blank).union(from_blank)
+    first = known.select("page_key", "__own", "__first").union(of_known("held", "holder")).union(of_known("holder", "held")).union(compared).union(blank).union(from_blank)
     first = first.groupBy("page_key", "__own").agg(F.min("__first").alias("__first"))
     gone = (F.coalesce("post_id", F.lit("")) == "") & shown & F.coalesce(F.col("__first") < F.col("ord"), F.lit(False))
     return mine.join(first, ["page_key", "__own"], "left").where(~gone).select(*posts.columns)

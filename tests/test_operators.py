@@ -149,3 +149,13 @@ def test_updates(spark):
 def test_resume_states(spark):
     df = spark.createDataFrame([(1, 1, 1, "failed"), (2, 1, 1, "completed"), (3, 2, 1, "running"), (1, 2, 1, "failed")], "id long, source_id long, job_id long, status string")
     assert [(r.id, r.status) for r in ordering.resume_states(df).collect()] == [(2, "completed")]
+
+
+def test_pages_of_few_texts_need_no_grams(spark, monkeypatch):
+    asked = []
+    whole = joins.containments
+    monkeypatch.setattr(joins, "containments", lambda texts, q: asked.append(texts.select("page_key").distinct().count()) or whole(texts, q))
+    rows = [(1, 0, "7", "Good morning all of you"), (1, 1, None, "morning ALL"), (1, 2, None, "other words"), (1, 3, "8", "other"), (2, 0, None, "ab"), (2, 1, "9", "abc")]
+    rows += [(3, k, str(k) if k < 20 else None, f"text number {k % 20} of the page") for k in range(40)]
+    got = joins.drop_dom_copies(spark.createDataFrame(rows, "page_key long, ord int, post_id string, text string")).select("page_key", "ord").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (1, 2), (1, 3), (2, 0), (2, 1), *[(3, k) for k in range(20)]] and asked == [1]
