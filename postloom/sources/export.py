@@ -117,7 +117,10 @@ def workbook(posts: DataFrame, job_id: str, source: str, exported_at: str) -> di
 
 
 def write_batches(posts: DataFrame, path: str, rows: int = 500, partitions: int | None = None) -> None:
-    """Newest first, in files of at most `rows` rows; file order is the order of the posts."""
+    """Newest first, in files of at most `rows` rows; file order is the order of the posts.
+
+    Tasks put their files in place themselves: otherwise the driver moves them one by one, when all are written.
+    """
     n = partitions or int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc_nulls_last("published_at"), F.desc("id" if "id" in posts.columns else "post_id")]
     posts.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").options(**{"maxRecordsPerFile": rows, "mapreduce.fileoutputcommitter.algorithm.version": "2"}).parquet(path)
