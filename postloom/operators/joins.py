@@ -70,13 +70,23 @@ def plan_gate(requests: DataFrame, users: DataFrame, jobs: DataFrame) -> DataFra
     return out.withColumn("violation", violation).select(*requests.columns, "violation")
 
 
+#: Jobs to delete that are so few that every task may hold them.
+FEW_JOBS = 10_000
+
+
 def without_job(tables: dict[str, DataFrame], job_ids: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the jobs (column job_id) and all that hangs on them."""
+    """The tables without the jobs (column job_id) and all that hangs on them.
+
+    Tables are never sorted: what is deleted is hashed, and they run past it. A few jobs go to every task; more of them, and the
+    deleted posts, are shuffled, so that a task's memory follows its part of what is deleted, not of the tables.
+    """
     keys = {"jobs": "id"}
-    gone = job_ids.select("job_id").distinct()
+    gone = job_ids.select("job_id")
+    gone = F.broadcast(gone) if gone.limit(FEW_JOBS + 1).count() <= FEW_JOBS else gone.hint("shuffle_hash")
     out = {name: df.join(gone.withColumnRenamed("job_id", keys.get(name, "job_id")), keys.get(name, "job_id"), "left_anti") for name, df in tables.items() if keys.get(name, "job_id") in df.columns}
     for name in tables.keys() - out.keys():  # children of posts
-        out[name] = tables[name].join(tables["posts"].join(gone, "job_id", "left_semi").select("id"), "id", "left_anti")
+        posts = tables["posts"].join(gone, "job_id", "left_semi").select("id")
+        out[name] = tables[name].join(posts.hint("shuffle_hash"), "id", "left_anti")
     return out
 
 

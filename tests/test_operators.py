@@ -159,3 +159,31 @@ def test_pages_of_few_texts_need_no_grams(spark, monkeypatch):
     rows += [(3, k, str(k) if k < 20 else None, f"text number {k % 20} of the page") for k in range(40)]
     got = joins.drop_dom_copies(spark.createDataFrame(rows, "page_key long, ord int, post_id string, text string")).select("page_key", "ord").collect()
     assert sorted(map(tuple, got)) == [(1, 0), (1, 2), (1, 3), (2, 0), (2, 1), *[(3, k) for k in range(20)]] and asked == [1]
+
+
+@pytest.mark.parametrize("few", [0, 2, 10_000])
+def test_what_is_deleted_is_hashed_and_the_tables_are_not_sorted(spark, monkeypatch, few):
+    monkeypatch.setattr(joins, "FEW_JOBS", few)
+    rng = random.Random(5)
+    jobs = [(k,) for k in range(40)]
+    posted = [(k, rng.choice([None, *range(45)])) for k in range(300)]
+    metrics_of = [(rng.choice([None, *range(320)]), k) for k in range(400)]
+    gone = [(k,) for k in (*range(0, 50, 5), 5, None)]
+    tables = {"jobs": spark.createDataFrame(jobs, "id long"), "posts": spark.createDataFrame(posted, "id long, job_id long"), "engagement": spark.createDataFrame(metrics_of, "id long, n long")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        left = joins.without_job(tables, spark.createDataFrame(gone, "job_id long"))
+        got = {name: sorted(map(tuple, df.collect()), key=repr) for name, df in left.items()}
+        plans = {name: df._jdf.queryExecution().toString() for name, df in left.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    ids = {k for k, in gone} - {None}
+    posts_gone = {k for k, job in posted if job in ids}
+    assert got["jobs"] == sorted([x for x in jobs if x[0] not in ids], key=repr)
+    assert sorted(tuple(r) for r in left["posts"].select("id", "job_id").collect() if r.job_id is not None) == sorted(x for x in posted if x[1] is not None and x[1] not in ids)
+    assert sum(x[1] is None for x in posted) == left["posts"].where("job_id IS NULL").count()
+    assert sorted(map(tuple, left["engagement"].select("id", "n").collect()), key=repr) == sorted([x for x in metrics_of if x[0] not in posts_gone], key=repr)
+    for plan in plans.values():
+        assert "SortMergeJoin" not in plan and "Sort [" not in plan
+    assert "ShuffledHashJoin" in plans["engagement"] and ("BroadcastHashJoin" in plans["jobs"]) == (few > len(gone))
