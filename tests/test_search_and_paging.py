@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,39 @@ def test_a_page_of_many_texts_has_no_quadratic_pairs(spark):
     assert joins.containments(texts).count() == 2001
     left = {r.ord for r in joins.drop_dom_copies(df).collect()}
     assert left == set(range(4000)) | {5002}
+
+
+def test_texts_that_lie_together_share_a_list_of_each_trigram(spark, tmp_path):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab\0 é漢😀") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", "ab", "aaa", "x" * 500]
+    want = {(t[i : i + 3], k) for k, t in enumerate(texts) for i in range(len(t) - 2)}
+    for chars, size in ((1, 1), (40, 7), (100, 300), (1 << 20, 300)):
+        rows = [(k, t.encode()) for k, t in enumerate(texts)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in x], pa.int64()), pa.array([t for _, t in x])], ["id", "text"]) for x in (rows[a : a + size] for a in range(0, len(rows), size))]
+        got = [(r["gram"], k) for b in search._listed(chars)(iter(batches)) for r in b.to_pylist() for k in r["keys"]]
+        assert len(got) == len(set(got)) and set(got) == want
+    every = "".join(chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000)  # too many kinds of letters for many texts
+    many = [every[a : a + 1000] for a in range(0, len(every), 1000)] * 10
+    lists = [r for b in search._lists(pa.array(range(len(many))), many) for r in b.to_pylist()]
+    assert {(r["gram"], k) for r in lists for k in r["keys"]} == {(t[i : i + 3], k) for k, t in enumerate(many) for i in range(len(t) - 2)}
+    df = spark.createDataFrame(list(enumerate(t.replace("\0", "c") for t in texts)), "id long, text string").coalesce(1)
+    table = search.TrigramTable(df, "id", ["text"], str(tmp_path / "t"), buckets=4).write()
+    assert spark.read.parquet(str(tmp_path / "t")).count() == len({g.replace("\0", "c") for g, _ in want})
+    table.drop()
+
+
+def test_texts_are_not_sorted_for_the_candidates(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(k, f"Town {k % 50:03} and more") for k in range(500)], "id long, text string").repartition(3)
+    table = search.TrigramTable(df, "id", ["text"], str(tmp_path / "t"), buckets=4).write()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        for sent, join in ((10, "BroadcastHashJoin"), (9, "ShuffledHashJoin")):
+            monkeypatch.setattr(search, "SENT", sent, raising=False)
+            got = table.search("OWN 007")
+            assert sorted(r.id for r in got.collect()) == list(range(7, 500, 50))
+            plan = got._jdf.queryExecution().toString()
+            assert join in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    table.drop()
