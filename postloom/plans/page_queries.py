@@ -99,7 +99,7 @@ def x8_shimmed_links(spark, sf):
     """Links to other hosts, those behind the site's redirect decoded, once each; people by their links and by @names."""
     inside = """'<p>See <a href="https://out', i % 3, '.example.org/a?b=', i, '">o</a> <a href="https://l.social.example/l.php?u=https%3A%2F%2Fx.org%2Fa">x</a> <a href="https://x.org/a">x</a> <a href="https://m.social.example/y">y</a>
 <a href="/people/Ann-B/1234567">Ann B</a> with @user', i % 5, '</p>'"""
-    got = dom_posts(spark, sf, inside)
+    got = extract.once_each(dom_posts(spark, sf, inside))
     return got.select("page_key", text.joined(F.col("external_links")).alias("links"), text.joined(F.col("mentions")).alias("names"))
 
 

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from postloom import schemas
+from postloom import catalog, schemas
 from postloom.sources import export, extract, readers
 from tests.test_operators import posts
 
@@ -124,6 +124,16 @@ def test_links_and_mentions_stand_as_often_as_found(spark):
     assert (got.first().mentions, got.first().external_links) == (["bob", "@bob"], ["https://x.org/a"])
 
 
+def test_links_and_mentions_once_each(spark):
+    rows = catalog.QUERIES["x8_shimmed_links"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 50 and all(r.links == f"https://out{r.page_key % 3}.example.org/a?b={r.page_key}|https://x.org/a" for r in rows)
+    again = """<article><p>Ask @bob, @ann or @bob</p><a href="https://x.org/b">b</a><a href="https://l.social.example/l.php?u=https%3A%2F%2Fx.org%2Fa">a</a><a href="https://x.org/a">a</a>
+<a href="https://x.org/b">b</a><a href="/people/Ann-B/1234567">Ann B</a><a href="/people/Ann-B/1234567">Ann B</a></article>"""
+    parsed = extract.posts_from_parts(extract.dom_parts(pages(spark, again, "<article>none</article>")), F.lit(NOW))
+    one, none = extract.once_each(parsed).orderBy("page_key").collect()
+    assert (one.external_links, one.mentions) == (["https://x.org/b", "https://x.org/a"], ["Ann B", "bob", "ann"]) and (none.external_links, none.mentions) == ([], [])
+
+
 def test_large_json_has_bounded_arrays_and_may_be_compressed(spark, tmp_path):
     rows = spark.range(25).repartition(2).select(*[(F.col("id").cast("string") if f.name == "post_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CANONICAL_POST])
     export.write_json(rows, str(tmp_path / "p"), most=5)
